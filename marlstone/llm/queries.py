@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, language_id, quality_rules, token_counts
+from . import bpe, decontaminate, language_id, line_dedup, quality_rules, token_counts, warc
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -37,14 +37,35 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", "text", fold.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write(table(spark, sf_dir, "pages"), warc.archive_folder(spark))
+    return warc.read(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = decontaminate.decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    n_items = F.size("items").cast("long")
+    digest = F.sha2(F.array_join(F.sort_array("items"), ","), 256)
+    return done.select("doc_id", "n_words", "n_hit", n_items.alias("n_items"), digest.alias("items_sha256"), (n_items >= 2).alias("contaminated"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document, those removed as boilerplate, and a digest of what is left."""
+    done = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op10_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
     return coded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_warc": op3_warc,
     "op4_token_counts": op4_token_counts,
     "op5_quality_rules": op5_quality_rules,
     "op6_language_id": op6_language_id,
+    "op7_decontaminate": op7_decontaminate,
+    "op9_line_dedup": op9_line_dedup,
     "op10_bpe_encode_decode": op10_bpe_encode_decode,
 }
