@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, language_id, line_dedup, near_dedup, quality_rules, token_counts, warc
+from . import bpe, decontaminate, language_id, line_dedup, near_dedup, quality_rules, repeats, token_counts, warc
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -54,6 +54,11 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_hit", n_items.alias("n_items"), digest.alias("items_sha256"), (n_items >= 2).alias("contaminated"))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return done.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document, those removed as boilerplate, and a digest of what is left."""
     done = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_language_id": op6_language_id,
     "op7_decontaminate": op7_decontaminate,
+    "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_bpe_encode_decode": op10_bpe_encode_decode,
 }
