@@ -27,23 +27,22 @@ gives no rows; other columns are ignored; long texts are handled whole.
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialise
-
-LENGTH, SEED = 50, 20
+LENGTH, SEED = 50, 22
 #: Text of a block and of a part: from LEAST to MOST, growing with the square root of the input.
 LEAST, MOST, GROWS_FROM = 1 << 20, 4 << 20, 50 << 20
 #: Bytes hashed at once.
 CHUNK = 1 << 20
-#: A key in more blocks than this is dealt out by window.
-HOT_BLOCKS = 16
+#: A key with more runs than this, about, is dealt out by window.
+HOT_RUNS = 8192
+#: Runs of a key in a block, as two bits can say: up to so many each.
+CLASSES = np.array([1, 8, 64, 512])
 NO_ID = 2**63 - 1
 _U = np.uint64
 _BYTE = np.random.default_rng(20240101).integers(0, 2**64, 256, dtype=_U) | _U(1)
@@ -68,8 +67,7 @@ def window_keys(raw: np.ndarray) -> np.ndarray:
     while 2 * width <= span:
         h = np.minimum(h[:-width], h[width:])
         width *= 2
-    h = np.minimum(h[: h.size - (span - width)], h[span - width :]) if width < span else h
-    return h & ~_U(1)  # the lowest bit is left for a flag
+    return np.minimum(h[: h.size - (span - width)], h[span - width :]) if width < span else h
 
 
 def runs(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -193,11 +191,25 @@ def pairs_of(blobs: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), "<i4").reshape(-1, 2).astype(np.int64)
 
 
+def hashes(raw: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """64-bit hashes of parts of ``raw``, equal for equal strings wherever they stand."""
+    powers = np.cumprod(np.concatenate([np.ones(1, _U), np.full(raw.size, _STEP, _U)]))
+    sums = np.concatenate([np.zeros(1, _U), np.cumsum(_BYTE[raw] * powers[:-1])])
+    del powers
+    back = np.cumprod(np.concatenate([np.ones(1, _U), np.full(raw.size, pow(_STEP, -1, 1 << 64), _U)]))
+    out = (sums[first + length] - sums[first]) * back[first]
+    out ^= out >> _U(32)
+    return out * _U(0xC4CEB9FE1A85EC53) + length.astype(_U)
+
+
+ORDER = [("id", "ascending"), ("text", "ascending")]
+
+
 class Block:
     """The documents of a block, in order of ids, their bytes one after the other."""
 
     def __init__(self, table: pa.Table) -> None:
-        table = table.select(["id", "text"]).sort_by([("id", "ascending"), ("text", "ascending")])
+        table = table.select(["id", "text"]).sort_by(ORDER)
         self.ids = table.column("id").to_numpy()
         texts = [x.as_buffer() for x in table.column("text").cast(pa.large_binary())]
         self.begins = np.append(0, np.cumsum([len(x) for x in texts])).astype(np.int64)
@@ -217,39 +229,34 @@ class Block:
         real = first < end
         return doc[real], key[real], first[real], end[real]
 
-    def keys(self) -> np.ndarray:
-        """Sorted distinct keys; the lowest bit says that two documents have it."""
+    def keys(self, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets and names (32 bits) of distinct keys.  A name's lowest bit says
+        that two documents have it, the next two how many runs there are."""
         doc, key, _, _ = self.runs()
-        ids = self.ids[doc]
-        order = np.lexsort((ids, key))
-        key, ids = key[order], ids[order]
-        new = np.ones(key.size, bool)
-        new[1:] = key[1:] != key[:-1]
+        code, ids = codes(key, n_buckets), self.ids[doc]
+        order = np.lexsort((ids, code))
+        code, ids = code[order], ids[order]
+        new = np.ones(code.size, bool)
+        new[1:] = code[1:] != code[:-1]
         starts = np.flatnonzero(new)
-        ends = np.append(starts[1:], key.size) - 1
-        return key[new] | (ids[starts] != ids[ends]).astype(_U) if key.size else key
-
-    def hashes(self, first: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Hashes of byte strings of the block, equal for equal strings wherever they stand."""
-        inverse = pow(_STEP, -1, 1 << 64)
-        powers = np.cumprod(np.concatenate([np.ones(1, _U), np.full(self.raw.size, _STEP, _U)]))
-        sums = np.concatenate([np.zeros(1, _U), np.cumsum(_BYTE[self.raw] * powers[:-1])])
-        del powers
-        back = np.cumprod(np.concatenate([np.ones(1, _U), np.full(self.raw.size, inverse, _U)]))
-        out = (sums[first + length] - sums[first]) * back[first]
-        out ^= out >> _U(32)
-        return out * _U(0xC4CEB9FE1A85EC53) + length.astype(_U)
-
-    def segments(self, shared: np.ndarray) -> tuple[bytes, dict[str, np.ndarray]]:
+        ends = np.append(starts[1:], code.size)
+        code = code[new]
+        flags = np.zeros(0, "<u4")
+        if code.size:
+            flags = (ids[starts] != ids[ends - 1]).astype("<u4") | np.searchsorted(CLASSES[:-1], ends - starts).astype("<u4") << np.uint32(1)
+        return (code >> _U(32)).astype(np.int64), (code & _U(0xFFFFFFFF)).astype("<u4") | flags
+
+    def segments(self, shared: np.ndarray, n_buckets: int) -> tuple[bytes, dict[str, np.ndarray]]:
         """What to find out elsewhere about keys that two documents have.
 
-        ``shared``: sorted keys, the lowest bit set for hot ones.  Of strings
+        ``shared``: sorted codes, the lowest bit set for hot ones.  Of strings
         that the block has several times, the smallest document's is sent; in
         larger documents they are repeats already (first result).
         """
         doc, key, first, end = self.runs()
-        at = np.minimum(np.searchsorted(shared & ~_U(1), key), max(shared.size - 1, 0))
-        met = (shared[at] & ~_U(1)) == key if shared.size else np.zeros(key.size, bool)
+        code = codes(key, n_buckets)
+        at = np.minimum(np.searchsorted(shared & ~_U(1), code), max(shared.size - 1, 0))
+        met = (shared[at] & ~_U(1)) == code if shared.size else np.zeros(key.size, bool)
         doc, key, first, end, hot = doc[met], key[met], first[met], end[met], (shared[at[met]] & _U(1)) == 1 if shared.size else met[met]
         many = (end - first)[hot]
         places = ragged(first[hot], many)
@@ -258,7 +265,7 @@ class Block:
         route = np.concatenate([key[~hot], np.zeros(places.size, _U)])
         n_cold = int((~hot).sum())
         first = np.concatenate([first[~hot], places])
-        name = self.hashes(first, length)
+        name = hashes(self.raw, first, length)
         route[n_cold:] = name[n_cold:]
         order = np.lexsort((doc, name))
         doc, first, length, route, name = doc[order], first[order], length[order], route[order], name[order]
@@ -271,133 +278,149 @@ class Block:
         return local, {"first": first[new], "length": length[new], "id": least, "route": route[new], "n": np.bincount(group[own], minlength=int(new.sum())), "places": first[own]}
 
 
-def grouped(values: np.ndarray, count: int) -> Iterator[tuple[int, np.ndarray]]:
-    """The places of each value below ``count``."""
+def grouped(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The places of each value."""
     order = np.argsort(values, kind="stable")
     for part in np.split(order, np.flatnonzero(np.diff(values[order])) + 1):
         if part.size:
             yield int(values[part[0]]), part
 
 
-def deal(keys: np.ndarray, n: int) -> np.ndarray:
-    """Bucket of each key; keys are minima, so they are spread first."""
+def spread(keys: np.ndarray) -> np.ndarray:
+    """Keys are minima of hashes; these are evenly spread again."""
     x = (keys ^ (keys >> _U(31))) * _U(0x9FB21C651E98DF25)
-    return ((x ^ (x >> _U(35))) % _U(n)).astype(np.int64)
+    x = (x ^ (x >> _U(35))) * _U(0xD6E8FEB86659FD93)
+    return x ^ (x >> _U(32))
+
+
+def codes(keys: np.ndarray, n_buckets: int) -> np.ndarray:
+    """Bucket of each key in the upper half, its name in the lower, with three bits free.
+    Two keys of one name cost a needless comparison, no more."""
+    x = spread(keys)
+    return x % _U(n_buckets) << _U(32) | x >> _U(35) << _U(3)
+
+
+def deal(keys: np.ndarray, n: int) -> np.ndarray:
+    """The part of each key."""
+    return (spread(keys) % _U(n)).astype(np.int64)
 
 
 PACKED = ("raw", "length", "id", "n", "places")
 
 
 def suffix_part(table: pa.Table) -> pa.Table:
-    """For the segments of one part: the byte ranges of each block that repeat."""
+    """For the segments of one part: the byte ranges of each block that repeat; ranges known before are passed on."""
     take = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) for x in table.column(name)]
+    known = [(b, x) for b, x in zip(table.column("block").to_pylist(), table.column("spans").to_pylist(), strict=True) if x]
+    table = table.filter(pa.compute.greater(pa.compute.binary_length(table.column("raw")), 0))
     blocks = table.column("block").to_numpy()
+    if not blocks.size:
+        return pa.table({"block": pa.array([b for b, _ in known], pa.int64()), "spans": pa.array([x for _, x in known], pa.binary())})
     raws, lengths, ids, counts, places = (take(c, k) for c, k in zip(PACKED, (np.uint8, "<i4", "<i8", "<i4", "<i4"), strict=True))
     of = np.repeat(np.arange(len(blocks)), [x.size for x in lengths])
     length, id_, count = (np.concatenate(x).astype(np.int64) for x in (lengths, ids, counts))
     text, place = np.concatenate(raws), np.concatenate(places).astype(np.int64)
-    windows = length - LENGTH + 1
+    # Equal segments go by their smallest document; in the others they are repeats.
     begin = np.cumsum(length) - length
-    starts = ragged(begin, windows)
-    segment = np.repeat(np.arange(length.size), windows)
-    hit = previous_factors(text, starts, id_[segment]) >= LENGTH
-    # Runs of windows that repeat, in each segment; then at all its places.
+    name = hashes(text, begin, length)
+    order = np.lexsort((id_, name))
+    new = np.ones(name.size, bool)
+    new[1:] = name[order][1:] != name[order][:-1]
+    group = np.empty(name.size, np.int64)
+    group[order] = np.cumsum(new) - 1
+    chosen = order[new]
+    windows = length[chosen] - LENGTH + 1
+    starts = ragged(begin[chosen], windows)
+    segment = np.repeat(np.arange(chosen.size), windows)
+    hit = previous_factors(text, starts, id_[chosen][segment]) >= LENGTH
+    # Runs of windows that repeat in each segment chosen.
     border = segment[1:] != segment[:-1]
     lo = np.flatnonzero(hit & np.append(True, border | ~hit[:-1])[: hit.size])
     hi = np.flatnonzero(hit & np.append(border | ~hit[1:], True)[: hit.size]) + 1
-    seg = segment[lo]
-    offset, reach = starts[lo] - begin[seg], hi - lo + LENGTH - 1
+    found = np.bincount(segment[lo], minlength=chosen.size)
+    own = id_ == id_[chosen][group]
+    n = np.where(own, found[group], 1)
+    seg = np.repeat(np.arange(n.size), n)
+    offset, reach, mine = np.zeros(seg.size, np.int64), length[seg], own[seg]
+    pick = ragged((np.cumsum(found) - found)[group[own]], found[group[own]])
+    offset[mine] = starts[lo[pick]] - begin[chosen][segment[lo[pick]]]
+    reach[mine] = (hi - lo)[pick] + LENGTH - 1
     first_place = np.cumsum(count) - count
     n = count[seg]
     at = np.repeat(np.arange(seg.size), n)
     where = place[ragged(first_place[seg], n)] + offset[at]
     end, owner = where + reach[at], of[seg[at]]
-    rows = [(int(blocks[k]), merged(where[p], end[p])) for k, p in grouped(owner, len(blocks))]
+    rows = known + [(int(blocks[k]), merged(where[p], end[p])) for k, p in grouped(owner)]
     return pa.table({"block": pa.array([b for b, _ in rows], pa.int64()), "spans": pa.array([x for _, x in rows], pa.binary())})
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per row of ``docs``: ``id``, ``n_bytes``, ``n_removed``, ``n_spans``
     (maximal removed runs) and ``kept`` (the bytes that are left)."""
-    spark = docs.sparkSession
     id_, text = F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = docs.select(F.coalesce(id_, F.lit(NO_ID)).alias("id"), id_.isNull().alias("no_id"), text.alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, int(total // min(MOST, max(LEAST, LEAST * (total / GROWS_FROM) ** 0.5))) + 1)
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)))
-    # One shuffle of the texts: a table bucketed by block, which every pass reads in place.
-    name = f"marlstone_blocks_{uuid.uuid4().hex}"
-    rows.repartition(n_blocks, "block").write.bucketBy(n_blocks, "block").saveAsTable(name)
-    atexit.register(drop, spark, name)
-    blocks = spark.table(name)
-
     def keys_of(key: tuple, table: pa.Table) -> pa.Table:
-        keys = Block(table).keys()
-        out = [(b, keys[at].tobytes()) for b, at in grouped(deal(keys & ~_U(1), n_blocks), n_blocks)]
-        return pa.table({"bucket": pa.array([b for b, _ in out], pa.int64()), "block": pa.array([key[0].as_py()] * len(out), pa.int64()), "keys": pa.array([x for _, x in out], pa.binary())})
+        buckets, names = Block(table).keys(n_blocks)
+        out = [(b, names[at].tobytes()) for b, at in grouped(buckets)]
+        return pa.table({"bucket": pa.array([b for b, _ in out], pa.int64()), "block": pa.array([key[0].as_py()] * len(out), pa.int64()), "names": pa.array([x for _, x in out], pa.binary())})
 
-    def shared_keys(table: pa.Table) -> pa.Table:
-        blobs = [np.frombuffer(x.as_buffer(), _U) for x in table.column("keys")]
-        keys = np.concatenate(blobs)
+    def shared_keys(key: tuple, table: pa.Table) -> pa.Table:
+        blobs = [np.frombuffer(x.as_buffer(), "<u4") for x in table.column("names")]
+        names = np.concatenate(blobs)
         of = np.repeat(np.arange(len(blobs)), [x.size for x in blobs])
-        names, group, n = np.unique(keys & ~_U(1), return_inverse=True, return_counts=True)
-        twice = (n > 1) | (np.bincount(group, keys & _U(1), minlength=names.size) > 0)
-        marked = names | (n > HOT_BLOCKS).astype(_U)
+        distinct, group, n = np.unique(names >> 3, return_inverse=True, return_counts=True)
+        twice = (n > 1) | (np.bincount(group, names & 1, minlength=distinct.size) > 0)
+        many = np.bincount(group, CLASSES[names >> 1 & 3], minlength=distinct.size) > HOT_RUNS
+        marked = (distinct << 3 | many).astype("<u4")
         keep = twice[group]
-        found = marked[group]
-        numbers = table.column("block").to_numpy()
-        found = found[keep]
-        out = [(int(numbers[k]), found[at].tobytes()) for k, at in grouped(of[keep], len(blobs))]
-        return pa.table({"block": pa.array([b for b, _ in out], pa.int64()), "keys": pa.array([x for _, x in out], pa.binary())})
+        found, blocks = marked[group][keep], table.column("block").to_numpy()
+        out = [(int(blocks[k]), found[at].tobytes()) for k, at in grouped(of[keep])]
+        return pa.table({"block": pa.array([b for b, _ in out], pa.int64()), "bucket": pa.array([key[0].as_py()] * len(out), pa.int64()), "names": pa.array([x for _, x in out], pa.binary())})
 
     def segments_of(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        shared = np.sort(np.frombuffer(b"".join(right.column("keys").to_pylist()), _U))
-        local, found, out = b"", None, []
-        block = Block(left)
-        if shared.size and left.num_rows:
-            local, found = block.segments(shared)
+        replies = [np.frombuffer(x.as_buffer(), "<u4") for x in right.column("names")]
+        number = key[0].as_py()
+        out = []
+        if left.num_rows and replies:
+            shared = np.sort(np.repeat(right.column("bucket").to_numpy().astype(_U) << _U(32), [x.size for x in replies]) | np.concatenate(replies))
+            block = Block(left)
+            local, found = block.segments(shared, n_blocks)
             begin = np.cumsum(found["n"]) - found["n"]
-            for part, at in grouped(deal(found["route"], n_blocks), n_blocks):
+            for part, at in grouped(deal(found["route"], n_blocks)):
                 raw = block.raw[ragged(found["first"][at], found["length"][at])]
                 places = found["places"][ragged(begin[at], found["n"][at])]
                 out.append((part, b"", raw.tobytes(), found["length"][at].astype("<i4").tobytes(), found["id"][at].astype("<i8").tobytes(), found["n"][at].astype("<i4").tobytes(), places.astype("<i4").tobytes()))
-        out.append((-1, local, b"", b"", b"", b"", b""))
+            out.append((number, local, b"", b"", b"", b"", b""))
         names = ("part", "spans", *PACKED)
-        columns = {c: pa.array(v, pa.int64() if c == "part" else pa.binary()) for c, v in zip(names, zip(*out, strict=True), strict=True)}
-        return pa.table({"block": pa.array([key[0].as_py()] * len(out), pa.int64())} | columns)
+        columns = {c: pa.array([x[k] for x in out], pa.int64() if c == "part" else pa.binary()) for k, c in enumerate(names)}
+        return pa.table({"block": pa.array([number] * len(out), pa.int64())} | columns)
 
     def cut(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        order = [("id", "ascending"), ("text", "ascending")]
-        left = left.sort_by(order)
         block = Block(left)
-        n = len(block.ids)
+        left = left.sort_by(ORDER)
         edge = np.zeros(block.raw.size + 1, np.int32)
         spans = pairs_of(right.column("spans").to_pylist())
         np.add.at(edge, spans[:, 0], 1)
         np.add.at(edge, spans[:, 1], -1)
         gone = np.cumsum(edge[:-1]) > 0
-        sums = np.append(0, np.cumsum(gone))
-        n_removed = sums[block.begins[1:]] - sums[block.begins[:-1]]
-        starts = gone & ~np.append(False, gone[:-1]) if gone.size else gone
-        starts[block.begins[:-1][np.diff(block.begins) > 0]] |= gone[block.begins[:-1][np.diff(block.begins) > 0]]
-        turns = np.append(0, np.cumsum(starts))
-        n_bytes = np.diff(block.begins)
-        offsets = np.append(0, np.cumsum(n_bytes - n_removed)).astype(np.int32)
-        kept = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(block.raw[~gone].tobytes())])
+        begin, end = block.begins[:-1], block.begins[1:]
+        starts = gone.copy()
+        starts[1:] &= ~gone[:-1]
+        starts[begin[begin < end]] = gone[begin[begin < end]]  # a run ends with its document
+        removed, turns = np.append(0, np.cumsum(gone)), np.append(0, np.cumsum(starts))
+        n_removed = removed[end] - removed[begin]
+        offsets = np.append(0, np.cumsum(end - begin - n_removed)).astype(np.int32)
+        kept = pa.Array.from_buffers(pa.binary(), len(block.ids), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(block.raw[~gone].tobytes())])
         ids = pa.array(block.ids, mask=left.column("no_id").to_numpy())
-        return pa.table({"id": ids, "n_bytes": pa.array(n_bytes), "n_removed": pa.array(n_removed.astype(np.int64)), "n_spans": pa.array((turns[block.begins[1:]] - turns[block.begins[:-1]]).astype(np.int64)), "kept": kept})
-
-    by_block = lambda df: df.groupBy("block")
-    keys = by_block(blocks).applyInArrow(keys_of, "bucket long, block long, keys binary")
-    replies = keys.groupBy("bucket").applyInArrow(shared_keys, "block long, keys binary")
-    sent = materialise(by_block(blocks).cogroup(by_block(replies)).applyInArrow(segments_of, "block long, part long, spans binary, raw binary, length binary, id binary, n binary, places binary"), "segments")
-    found = sent.where("part >= 0").drop("spans").groupBy("part").applyInArrow(suffix_part, "block long, spans binary")
-    spans = sent.where("part < 0 AND length(spans) > 0").select("block", "spans").unionByName(found)
-    return by_block(blocks).cogroup(by_block(spans)).applyInArrow(cut, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
-
-
-def drop(spark, name: str) -> None:
-    try:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
-    except Exception:  # the session has ended
-        pass
+        return pa.table({"id": ids, "n_bytes": pa.array(end - begin), "n_removed": pa.array(n_removed.astype(np.int64)), "n_spans": pa.array((turns[end] - turns[begin]).astype(np.int64)), "kept": kept})
+
+    # One plan, so that its three passes over the blocks read one shuffle of the texts.
+    blocks = lambda: rows.groupBy("block")
+    keys = blocks().applyInArrow(keys_of, "bucket long, block long, names binary")
+    replies = keys.groupBy("bucket").applyInArrow(shared_keys, "block long, bucket long, names binary")
+    sent = blocks().cogroup(replies.groupBy("block")).applyInArrow(segments_of, "block long, part long, spans binary, raw binary, length binary, id binary, n binary, places binary")
+    spans = sent.groupBy("part").applyInArrow(suffix_part, "block long, spans binary")
+    return blocks().cogroup(spans.groupBy("block")).applyInArrow(cut, "id long, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -41,11 +41,11 @@ def cases(seed, n=60):
     return docs
 
 
-@pytest.mark.parametrize(("seed", "least", "hot"), [(1, 1 << 20, 16), (2, 700, 16), (3, 1500, 1), (4, 400, 0)])
+@pytest.mark.parametrize(("seed", "least", "hot"), [(1, 1 << 20, 8192), (2, 700, 8192), (3, 1500, 20), (4, 400, 0)])
 def test_equals_brute_force(spark, monkeypatch, seed, least, hot):
     monkeypatch.setattr(rp, "LEAST", least)
     monkeypatch.setattr(rp, "MOST", least if seed == 1 else least * 20)
-    monkeypatch.setattr(rp, "HOT_BLOCKS", hot)
+    monkeypatch.setattr(rp, "HOT_RUNS", hot)
     docs = cases(seed)
     assert run(spark, docs) == by_hand(docs)
 
