@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, language_id, line_dedup, near_dedup, quality_rules, repeats, token_counts, warc
+from . import bpe, decontaminate, html_extract, language_id, line_dedup, near_dedup, quality_rules, repeats, token_counts, warc
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -37,6 +37,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", "text", fold.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = html_extract.extract_text(table(spark, sf_dir, "pages"))
+    return done.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = near_dedup.near_dedup(table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
     return done.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
@@ -71,6 +76,7 @@ def op10_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extract": op1_html_extract,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_warc": op3_warc,
     "op4_token_counts": op4_token_counts,
