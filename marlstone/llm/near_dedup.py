@@ -13,12 +13,19 @@ candidates.  With 48 bands of 6 rows a pair at similarity 0.8 has no band in
 common once in two million times, one at 0.85 once in ten thousand million.
 Every link is confirmed on the full sets.
 
+A bit of each of 256 coordinates gives a cheap second look: candidates that
+differ in more than ``FAR`` bits are dropped.  At similarity 0.8 a pair differs in
+26 bits, give or take 5, so ``FAR`` is six standard deviations away.
+
 No group is ever expanded into its pairs.  Documents with equal sets are one
 class, which its smallest id represents.  In each band bucket, representatives
-are tested against a pivot, ``STAR_ROUNDS`` times with another pivot of each
-bucket; links merge components.  What remains is every pair of a bucket whose
-ends are still in different components; those are tested one by one, so no
-candidate is left out.
+are tested against a pivot, the one with the most bucket mates (a text and its
+edited copies collide more often than the copies do among themselves), then
+against another; links merge components.  What remains is every pair of a bucket
+whose ends are still in different components.  A task tests those of a bucket in
+place, so no candidate is left out, and sends back only links that join two
+components.  Buckets with more than ``GROUP_WEIGHT`` elements are dealt to tasks
+as pairs of blocks.
 
 Defined results: a document without words, or with a null text, has the empty
 set, is linked with nothing and is its own component; a document with fewer
@@ -42,7 +49,10 @@ from .components import components
 SHINGLE_WORDS, PERCENT = 5, 80
 BANDS, ROWS = 48, 6
 SKETCH = BANDS * ROWS
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
+BITS, FAR = 256, 56
+#: Shingles of a bucket that a task has in memory, about.
+GROUP_WEIGHT = 1 << 20
 #: Elements sketched at once, and word hashes kept per worker.
 CHUNK, CACHE_WORDS = 1 << 19, 300_000
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -114,8 +124,14 @@ def bands(sketches: np.ndarray) -> np.ndarray:
     return key
 
 
+def bits(sketches: np.ndarray) -> np.ndarray:
+    """A bit per coordinate, packed in 64-bit integers."""
+    low = (mix(sketches[:, :BITS]) & _U(1)).astype(np.uint8)
+    return np.packbits(low, axis=1).view("<i8")
+
+
 def sketched(docs: DataFrame, k: int) -> DataFrame:
-    """Per row: ``id``, ``n`` (set size), ``f1``, ``f2`` (the set's 128-bit name), ``keys`` (bands)."""
+    """Per row: ``id``, ``n`` (set size), ``f1``, ``f2`` (the set's 128-bit name), ``keys`` (bands), ``bits``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
@@ -132,16 +148,18 @@ def sketched(docs: DataFrame, k: int) -> DataFrame:
                     high += 1
                 n = np.array([s.size for s in sets])
                 full = np.flatnonzero(n)
-                keys = np.zeros((len(sets), BANDS), _U)
+                keys, marks = np.zeros((0, BANDS), _U), np.zeros((len(sets), BITS // 64), np.int64)
                 if full.size:
-                    keys[full] = bands(sketch(np.concatenate([sets[x] for x in full]), np.append(0, np.cumsum(n[full]))))
+                    s = sketch(np.concatenate([sets[x] for x in full]), np.append(0, np.cumsum(n[full])))
+                    keys, marks[full] = bands(s), bits(s)
                 names = np.frombuffer(b"".join(xxh3_128_digest(s.tobytes()) for s in sets), dtype="<i8").reshape(-1, 2)
                 offsets = np.append(0, np.cumsum(np.where(n > 0, BANDS, 0))).astype(np.int32)
-                flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[full].ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids.slice(low, high - low), pa.array(n), pa.array(names[:, 0]), pa.array(names[:, 1]), flat], names=["id", "n", "f1", "f2", "keys"])
+                flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel().view(np.int64)))
+                packed = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * (BITS // 64)), pa.array(marks.ravel()))
+                yield pa.RecordBatch.from_arrays([ids.slice(low, high - low), pa.array(n), pa.array(names[:, 0]), pa.array(names[:, 1]), flat, packed], names=["id", "n", "f1", "f2", "keys", "bits"])
                 low = high
 
-    return docs.mapInArrow(run, "id long, n long, f1 long, f2 long, keys array<long>")
+    return docs.mapInArrow(run, "id long, n long, f1 long, f2 long, keys array<long>, bits array<long>")
 
 
 def sets_of(docs: DataFrame, k: int) -> DataFrame:
@@ -174,6 +192,61 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(first, "a").join(second, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """``rows`` (key, id, n, …) with ``part``: large buckets as all pairs of their blocks."""
+    weight = rows.groupBy("key").agg((F.sum("n") / (GROUP_WEIGHT // 2)).cast("int").alias("more"))
+    own = F.pmod(F.xxhash64("id"), F.col("more") + 1).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), F.col("more")), lambda j: F.least(own, j) * (F.col("more") + 1) + F.greatest(own, j))
+    return rows.join(weight, "key").withColumn("part", F.explode(F.when(F.col("more") == 0, F.array(F.lit(0))).otherwise(parts))).drop("more")
+
+
+def near(table: pa.Table) -> pa.Table:
+    """The members of a bucket that another component has a likely partner for."""
+    label, n = table.column("label").to_numpy(), table.column("n").to_numpy()
+    marks = np.stack([table.column(f"b{k}").to_numpy().view(_U) for k in range(BITS // 64)], axis=1)
+    found = np.zeros(n.size, bool)
+    for low in range(0, n.size, 256):
+        rows = slice(low, low + 256)
+        apart = np.bitwise_count(marks[rows, None, :] ^ marks[None, :, :]).sum(axis=2, dtype=np.int64)
+        fits = (apart <= FAR) & (label[rows, None] != label[None, :])
+        found[rows] |= fits.any(axis=1)
+    return table.select(["key", "part", "id", "n", "label"]).filter(pa.array(found))
+
+
+def linker(percent: int):
+    def link(table: pa.Table) -> pa.Table:
+        """Links between the components in a bucket, as few as join them."""
+        label, ids = table.column("label").to_numpy(), table.column("id").to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), _U) for x in table.column("set")]
+        n = np.array([x.size for x in sets])
+        begin = np.append(0, np.cumsum(n))
+        names, element = np.unique(np.concatenate(sets), return_inverse=True)
+        tree = np.unique(label, return_inverse=True)[1]  # component numbers, renamed as they merge
+        a, b = [], []
+        mark = np.zeros(names.size, bool)
+        for k in range(n.size - 1):
+            if (tree[k + 1 :] == tree[k]).all():
+                continue
+            mark[element[begin[k] : begin[k + 1]]] = True
+            common = np.add.reduceat(mark[element[begin[k + 1] :]], begin[k + 1 : -1] - begin[k + 1], dtype=np.int64)
+            mark[element[begin[k] : begin[k + 1]]] = False
+            for j in np.flatnonzero(100 * common >= percent * (n[k] + n[k + 1 :] - common)).tolist():
+                other = k + 1 + j
+                if tree[other] != tree[k]:
+                    tree[tree == tree[other]] = tree[k]
+                    a.append(min(ids[k], ids[other]))
+                    b.append(max(ids[k], ids[other]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return link
+
+
+def labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members with the label of their component, written."""
+    known = members.join(labels, F.col("id") == F.col("node"), "left")
+    return materialise(known.select(*members.columns, F.coalesce("label", "id").alias("label")), "labelled")
+
+
 def near_dedup(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: ``id``, ``n_shingles``, ``component_id``, ``kept``."""
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -183,34 +256,44 @@ def near_dedup(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int
     classes = materialise(full.groupBy("f1", "f2").agg(F.min("id").alias("rep")), "classes")
     rep_rows = full.join(classes.select("f1", "f2", F.col("rep").alias("id")), ["f1", "f2", "id"], "left_semi").dropDuplicates(["f1", "f2", "id"])
     # Buckets with two representatives at least.
-    entries = rep_rows.select("id", "n", F.explode("keys").alias("key"))
-    shared = entries.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
-    members = materialise(entries.join(shared, "key", "left_semi").select("key", "id", "n"), "buckets")
+    entries = rep_rows.select("id", F.explode("keys").alias("key"))
+    shared = entries.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi").select("key", "size")
+    found = materialise(entries.join(shared, "key"), "buckets")
+    mates = found.groupBy("id").agg(F.sum("size").alias("mates"))
+    about = rep_rows.select("id", "n", *(F.col("bits")[k].alias(f"b{k}") for k in range(BITS // 64))).join(mates, "id")
+    members = materialise(found.select("key", "id").join(about, "id"), "members")
     wanted = members.select("id").distinct()
     sets = materialise(sets_of(texts.join(wanted, "id", "left_semi"), shingle_words), "sets")
     # An id with several sets links the classes they are in.
     several = full.groupBy("id").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).where("lo < hi").select("id")
     links = materialise(full.join(several, "id", "left_semi").join(classes, ["f1", "f2"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct(), "links")
     labels = components(links)
-    fits = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
-
-    def labelled(rows: DataFrame) -> DataFrame:
-        return rows.join(labels, F.col("id") == F.col("node"), "left").select("key", "id", "n", F.coalesce("label", "id").alias("label"))
-
-    for turn in range(STAR_ROUNDS + 1):
-        now = materialise(labelled(members), "labelled")
-        open_ = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by(F.struct("id", "n", "label"), F.xxhash64("id", F.lit(turn))).alias("p")).where("lo < hi")
-        now = now.join(open_.select("key", "p"), "key")
-        if turn < STAR_ROUNDS:
-            pairs = now.where("label <> p.label").select("id", "n", F.col("p.id").alias("other"), F.col("p.n").alias("m"))
-        else:  # all that is left
-            x, y = now.select("key", "id", "n", "label"), now.select("key", F.col("id").alias("other"), F.col("n").alias("m"), F.col("label").alias("label2"))
-            pairs = x.join(y, "key").where("label < label2")
-        pairs = pairs.where(fits).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    marks = [f"b{k}" for k in range(BITS // 64)]
+    own = ("id", "n", *marks, "label")
+
+    def alike(x: str, y: str):
+        """Sizes and bits that a similar pair can have; a column prefix for either side."""
+        n, m = F.col(f"{x}n"), F.col(f"{y}n")
+        apart = sum((F.bit_count(F.col(f"{x}{b}").bitwiseXOR(F.col(f"{y}{b}"))) for b in marks), F.lit(0))
+        return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (apart <= FAR)
+
+    for turn in range(STAR_ROUNDS):
+        now = labelled(members, labels)
+        rank = F.struct("mates", "id") if turn == 0 else F.struct(F.xxhash64("id", F.lit(turn)))
+        open_ = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max_by(F.struct(*own), rank).alias("p")).where("lo < hi")
+        pairs = now.join(open_.select("key", "p"), "key").where((F.col("label") != F.col("p.label")) & alike("", "p.")).select("id", F.col("p.id").alias("other"))
+        pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
         new = materialise(verified(materialise(pairs, "candidates"), sets, percent).distinct(), "links")
         if not new.isEmpty():
             links = links.unionByName(new)
             labels = components(links)
+    now = labelled(members, labels)
+    open_ = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    left = in_blocks(now.join(open_, "key", "left_semi")).groupBy("key", "part").applyInArrow(near, "key long, part int, id long, n long, label long")
+    tested = left.join(sets, "id").select("key", "part", "id", "label", "set").groupBy("key", "part").applyInArrow(linker(percent), "a long, b long")
+    new = materialise(tested.distinct(), "links")
+    if not new.isEmpty():
+        labels = components(links.unionByName(new))
     named = classes.join(labels, F.col("rep") == F.col("node"), "left").select("f1", "f2", F.coalesce("label", "rep").alias("component"))
     of_rows = rows.join(named, ["f1", "f2"], "left").select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id")).alias("component_id"))
     return of_rows.select("id", F.col("n").alias("n_shingles"), "component_id", (F.col("component_id").isNull() | (F.col("component_id") == F.col("id"))).alias("kept"))

@@ -86,3 +86,14 @@ def test_query_equals_brute_force(spark, sf):
     assert got == by_hand(docs, 2, 80)
     kept = sum(r[3] for r in got)
     assert 0 < kept < len(docs)
+
+
+def test_large_buckets_are_tested_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(nd, "GROUP_WEIGHT", 200)
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+    base = [word() for _ in range(60)]
+    docs = [(k, " ".join(word() if rng.random() < 0.045 else x for x in base)) for k in range(60)]
+    want = by_hand(docs, 2, 80)
+    assert len({r[2] for r in want}) > 1
+    assert run(spark, docs, shingle_words=2) == want
