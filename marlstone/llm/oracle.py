@@ -2,4 +2,77 @@
 
 from __future__ import annotations
 
-ORACLE_SQL: dict[str, str] = {}
+WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+#: A line without white space at its ends.
+TRIM = r"regexp_replace(regexp_replace({}, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '')"
+
+WARC = """
+WITH p AS (SELECT page_id, COALESCE(html, '') AS payload FROM pages),
+d AS (SELECT page_id, payload, MAX(page_id) OVER (PARTITION BY payload) AS newest, sha1(payload) AS h FROM p)
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         CAST((CAST('0x' || substr(h, CAST(i // 4 AS BIGINT) * 5 + 1, 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = newest THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = newest THEN NULL ELSE newest END AS refers_to
+FROM d"""
+
+#: Quantile sketches as the operator keeps them: exact below 64, then 32 buckets to a doubling.
+QUALITY = rf"""
+WITH t AS (SELECT doc_id, lang, source, COALESCE(text, '') AS x FROM documents),
+w AS (SELECT doc_id, lang, source, x, {WORDS.format("x")} AS words, list_filter(string_split(x, chr(10)), lambda s: regexp_matches(s, '[^\x20\x09-\x0D]')) AS ls FROM t),
+g AS (SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS gram FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
+twice AS (SELECT doc_id, gram FROM g GROUP BY doc_id, gram HAVING COUNT(*) > 1),
+cover AS (SELECT doc_id, COUNT(DISTINCT p) AS n FROM (SELECT g.doc_id, unnest([i, i + 1, i + 2]) AS p FROM g JOIN twice USING (doc_id, gram)) GROUP BY doc_id),
+c AS (
+  SELECT w.doc_id, lang, source, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+         CAST(len(regexp_extract_all(x, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(ls) AS BIGINT) AS n_lines,
+         CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(COALESCE(cover.n, 0) AS BIGINT) AS n_repeat_words
+  FROM w LEFT JOIN cover ON w.doc_id = cover.doc_id),
+r AS (
+  SELECT *, 10000 * n_symbols // greatest(word_chars, 1) AS r0, 10000 * n_dup_lines // greatest(n_lines, 1) AS r1,
+         10000 * n_repeat_words // greatest(n_words, 1) AS r2, 100 * word_chars // greatest(n_words, 1) AS r3 FROM c),
+v AS (SELECT lang, source, 0 AS k, r0 AS v FROM r UNION ALL SELECT lang, source, 1, r1 FROM r UNION ALL SELECT lang, source, 2, r2 FROM r UNION ALL SELECT lang, source, 3, r3 FROM r),
+s AS (SELECT lang, source, k, (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) AS b FROM v),
+lv AS (SELECT 0 AS lvl, lang, source, k, b FROM s UNION ALL SELECT 1, lang, NULL, k, b FROM s UNION ALL SELECT 2, NULL, NULL, k, b FROM s),
+h AS (SELECT lvl, lang, source, k, b, COUNT(*) AS n FROM lv GROUP BY lvl, lang, source, k, b),
+u AS (SELECT *, SUM(n) OVER (PARTITION BY lvl, lang, source, k ORDER BY b) AS upto, SUM(n) OVER (PARTITION BY lvl, lang, source, k) AS total FROM h),
+q AS (SELECT lvl, lang, source, k, MAX(total) AS total, MIN(CASE WHEN 100 * upto >= 25 * total THEN b END) AS q25, MIN(CASE WHEN 100 * upto >= 50 * total THEN b END) AS q50,
+        MIN(CASE WHEN 100 * upto >= 75 * total THEN b END) AS q75 FROM u GROUP BY lvl, lang, source, k),
+f AS (SELECT lvl, lang, source, k, total, q50, 8 * greatest(q75 - q50, q50 - q25, CASE k WHEN 0 THEN 100 WHEN 3 THEN 50 ELSE 400 END) AS reach FROM q),
+x AS (SELECT lvl, lang, source, MAX(total) AS total, MAX(CASE WHEN k = 0 THEN q50 + reach END) AS h0, MAX(CASE WHEN k = 1 THEN q50 + reach END) AS h1,
+        MAX(CASE WHEN k = 2 THEN q50 + reach END) AS h2, MAX(CASE WHEN k = 3 THEN q50 + reach END) AS h3, MAX(CASE WHEN k = 3 THEN q50 - reach END) AS l3 FROM f GROUP BY lvl, lang, source),
+j AS (
+  SELECT r.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    CASE WHEN a.total >= 100 THEN r0 <= a.h0 AND r1 <= a.h1 AND r2 <= a.h2 AND r3 <= a.h3 AND r3 >= a.l3
+         WHEN b.total >= 100 THEN r0 <= b.h0 AND r1 <= b.h1 AND r2 <= b.h2 AND r3 <= b.h3 AND r3 >= b.l3
+         ELSE r0 <= z.h0 AND r1 <= z.h1 AND r2 <= z.h2 AND r3 <= z.h3 AND r3 >= z.l3 END AS passes
+  FROM r JOIN x a ON a.lvl = 0 AND a.lang IS NOT DISTINCT FROM r.lang AND a.source IS NOT DISTINCT FROM r.source
+         JOIN x b ON b.lvl = 1 AND b.lang IS NOT DISTINCT FROM r.lang JOIN x z ON z.lvl = 2)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND passes AS kept FROM j"""
+
+CLEAN = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+DECONTAMINATE = f"""
+WITH b AS (SELECT item_id, {CLEAN.format("text")} AS w FROM benchmark WHERE text IS NOT NULL),
+iw AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, least(len(w), 8) AS k, array_to_string(w[i : i + least(len(w), 8) - 1], ' ') AS win
+       FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 8, 0) + 2)) AS i FROM b WHERE len(w) > 0)),
+ks AS (SELECT DISTINCT k FROM iw),
+d AS (SELECT doc_id, {CLEAN.format("COALESCE(text, '')")} AS w FROM documents),
+dw AS (SELECT doc_id, k, i, array_to_string(w[i : i + k - 1], ' ') AS win FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, ks WHERE len(w) >= k)),
+m AS (SELECT doc_id, dw.k, i, item FROM dw JOIN iw ON dw.win = iw.win AND dw.k = iw.k),
+hits AS (SELECT doc_id, COUNT(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM m) GROUP BY doc_id),
+its AS (SELECT doc_id, COUNT(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(COALESCE(n_hit, 0) AS BIGINT) AS n_hit, CAST(COALESCE(n_items, 0) AS BIGINT) AS n_items,
+       sha256(COALESCE(names, '')) AS items_sha256, COALESCE(n_items, 0) >= 2 AS contaminated
+FROM d LEFT JOIN hits ON d.doc_id = hits.doc_id LEFT JOIN its ON d.doc_id = its.doc_id"""
+
+LINES = f"""
+WITH l AS (SELECT doc_id, source, i, ls[i] AS line, {TRIM.format("ls[i]")} AS x
+           FROM (SELECT doc_id, source, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, source, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL))),
+b AS (SELECT x, MIN(doc_id) AS keeper FROM l WHERE len({WORDS.format("x")}) >= 3 GROUP BY x HAVING COUNT(DISTINCT COALESCE(source, chr(1))) >= 10),
+k AS (SELECT l.doc_id, COUNT(*) AS n_lines, COUNT(*) FILTER (WHERE keeper IS NOT NULL AND keeper <> l.doc_id) AS n_removed,
+             string_agg(line, chr(10) ORDER BY i) FILTER (WHERE keeper IS NULL OR keeper = l.doc_id) AS kept
+      FROM l LEFT JOIN b ON l.x = b.x GROUP BY l.doc_id)
+SELECT d.doc_id, COALESCE(n_lines, 0) AS n_lines, COALESCE(n_removed, 0) AS n_removed, sha256(COALESCE(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id"""
+
+ORACLE_SQL: dict[str, str] = {"op3_warc": WARC, "op5_quality_rules": QUALITY, "op7_decontaminate": DECONTAMINATE, "op9_line_dedup": LINES}

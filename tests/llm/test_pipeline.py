@@ -1,0 +1,101 @@
+"""Each stage of the pipeline against brute force on its own input."""
+
+import hashlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from test_decontaminate import words as item_words
+from test_line_dedup import by_hand as lines_by_hand
+from test_near_dedup import by_hand as copies_by_hand
+from tokenizers import Tokenizer
+
+import corpus_pipeline as cp
+from marlstone.llm import line_dedup as ld
+
+NAMES = ["language", "lines", "near_copies", "leaks", "tokens"]
+
+
+@pytest.fixture(scope="module")
+def frames(spark, sf, tmp_path_factory):
+    """What each stage got and gave."""
+    out, docs = [], spark.read.parquet(f"{sf}/documents.parquet")
+    junk = spark.createDataFrame([(90_001, None, None, None, None), (90_002, "123 456 !!", "en", "src0", 10), (90_003, "", "en", "src0", 0)], docs.schema)
+    docs = docs.unionByName(junk)
+    for name, stage in cp.STAGES:
+        done = stage(spark, docs, sf)
+        path = f"file://{tmp_path_factory.mktemp(name)}/out"
+        done.write.parquet(path)
+        out.append((docs, spark.read.parquet(path)))
+        docs = out[-1][1]
+    return dict(zip(NAMES, out, strict=True))
+
+
+def texts(df):
+    return sorted((r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect())
+
+
+def test_stages_and_columns(frames, spark, sf):
+    assert [n for n, _ in cp.STAGES] == NAMES
+    columns = spark.read.parquet(f"{sf}/documents.parquet").columns
+    assert all(frames[n][1].columns == columns for n in NAMES[:-1])
+
+
+def test_language_keeps_clean_documents_only(frames):
+    before, after = frames["language"]
+    gone = {r["doc_id"] for r in before.join(after, "doc_id", "left_anti").collect()}
+    assert gone == {90_001, 90_002, 90_003}
+
+
+def test_lines(frames):
+    before, after = frames["lines"]
+    docs = [(r["doc_id"], r["text"], r["source"]) for r in before.collect()]
+    want = [(d, new) for (d, new), (_, old, _) in zip(lines_by_hand(docs, ld.MIN_SITES), docs, strict=True) if new == old or new.strip(ld.SPACES)]
+    assert texts(after) == sorted(want)
+    assert after.where("n_chars <> length(text)").count() == 0
+
+
+def test_near_copies(frames):
+    before, after = frames["near_copies"]
+    docs = [(r["doc_id"], r["text"]) for r in before.collect()]
+    kept = {r[0] for r in copies_by_hand(docs, 5, 80) if r[3]}
+    assert len(kept) < len(docs) and texts(after) == sorted(x for x in docs if x[0] in kept)
+
+
+def test_leaks(frames, spark, sf):
+    before, after = frames["leaks"]
+    windows = set()
+    for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
+        w = item_words(r["text"])
+        windows |= {tuple(w[k : k + 8]) for k in range(max(len(w) - 8, 0) + 1)} if w else set()
+    clean = []
+    for d, t in texts(before):
+        w = item_words(t)
+        if not any(tuple(w[k : k + 8]) in windows for k in range(len(w))):
+            clean.append((d, t))
+    assert texts(after) == clean and len(clean) < before.count()
+
+
+def test_tokens(frames):
+    before, after = frames["tokens"]
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = {r["doc_id"]: r for r in after.collect()}
+    assert len(got) == before.count()
+    for d, t in texts(before):
+        ids = library.encode(t, add_special_tokens=False).ids
+        assert (got[d]["n_tokens"], got[d]["ids_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert got[d]["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest()
+
+
+def test_run_equals_the_stages(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for _, stage in cp.STAGES:
+        docs = stage(spark, docs, sf)
+    assert sorted(map(tuple, cp.run(spark, sf).collect())) == sorted(map(tuple, docs.collect()))
+
+
+def test_empty_table(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
+    for _, stage in cp.STAGES:
+        docs = stage(spark, docs, sf)
+    assert docs.collect() == []
