@@ -14,7 +14,7 @@ from marlstone.llm.common import scratch
 from marlstone.llm.queries import vocabulary
 
 #: A text whose best language gets less than this is in none that the model knows.
-MIN_SCORE = 0.5
+MIN_SCORE = 0.3
 #: Benchmark items with an occurring window that make a document a leak.
 MIN_ITEMS = 1
 
