@@ -38,7 +38,7 @@ h AS (SELECT lvl, lang, source, k, b, COUNT(*) AS n FROM lv GROUP BY lvl, lang,
 u AS (SELECT *, SUM(n) OVER (PARTITION BY lvl, lang, source, k ORDER BY b) AS upto, SUM(n) OVER (PARTITION BY lvl, lang, source, k) AS total FROM h),
 q AS (SELECT lvl, lang, source, k, MAX(total) AS total, MIN(CASE WHEN 100 * upto >= 25 * total THEN b END) AS q25, MIN(CASE WHEN 100 * upto >= 50 * total THEN b END) AS q50,
         MIN(CASE WHEN 100 * upto >= 75 * total THEN b END) AS q75 FROM u GROUP BY lvl, lang, source, k),
-f AS (SELECT lvl, lang, source, k, total, q50, 8 * greatest(q75 - q50, q50 - q25, CASE k WHEN 0 THEN 100 WHEN 3 THEN 50 ELSE 400 END) AS reach FROM q),
+f AS (SELECT lvl, lang, source, k, total, q50, 8 * greatest(q75 - q50, q50 - q25, CASE k WHEN 0 THEN 60 WHEN 1 THEN 500 WHEN 2 THEN 400 ELSE 50 END) AS reach FROM q),
 x AS (SELECT lvl, lang, source, MAX(total) AS total, MAX(CASE WHEN k = 0 THEN q50 + reach END) AS h0, MAX(CASE WHEN k = 1 THEN q50 + reach END) AS h1,
         MAX(CASE WHEN k = 2 THEN q50 + reach END) AS h2, MAX(CASE WHEN k = 3 THEN q50 + reach END) AS h3, MAX(CASE WHEN k = 3 THEN q50 - reach END) AS l3 FROM f GROUP BY lvl, lang, source),
 j AS (

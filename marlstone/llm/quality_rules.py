@@ -37,8 +37,8 @@ MIN_GROUP = 100
 FENCE = 8
 #: Rate, its SQL, its least spread, and whether small values fail, too.
 RATES = (
-    ("symbol_rate", f"{SCALE} * n_symbols DIV greatest(word_chars, 1)", 100, False),
-    ("dup_line_rate", f"{SCALE} * n_dup_lines DIV greatest(n_lines, 1)", 400, False),
+    ("symbol_rate", f"{SCALE} * n_symbols DIV greatest(word_chars, 1)", 60, False),
+    ("dup_line_rate", f"{SCALE} * n_dup_lines DIV greatest(n_lines, 1)", 500, False),
     ("repeat_rate", f"{SCALE} * n_repeat_words DIV greatest(n_words, 1)", 400, False),
     ("word_length", "100 * word_chars DIV greatest(n_words, 1)", 50, True),
 )
