@@ -24,10 +24,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .common import small
+
 #: Pre-tokenisation of byte-level BPE (fixed value: the vocabulary was built with it).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces kept per Python worker; the cache starts anew when it is full.
-CACHE_PIECES = 200_000
+#: Pieces and tested pairs kept per Python worker; a cache starts anew when it is full.
+CACHE_PIECES, CACHE_PAIRS = 150_000, 150_000
 #: Pieces longer than this aren't kept.
 CACHE_CHARS = 64
 
@@ -108,7 +110,7 @@ class Bpe:
             if node not in self.parts:
                 break
             until, node = self.rank[node], self.parts[node][1]
-        if len(self._joins) >= 2_000_000:
+        if len(self._joins) >= CACHE_PAIRS:
             self._joins.clear()
         self._joins[key] = ok
         return ok
@@ -183,7 +185,7 @@ def encode_decode(docs: DataFrame, vocab_path: str, text_col: str = "text") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocab_path)
-        for batch in batches:
+        for batch in small(batches, n):
             packed = [bpe.encode(t) if t else b"" for t in batch.column(n).to_pylist()]
             decoded = [bpe.decode(p) for p in packed]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(packed, pa.binary()), pa.array(decoded, pa.string())], names=[*(f.name for f in rest), "ids", "decoded"])

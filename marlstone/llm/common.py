@@ -5,7 +5,11 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Words of the word-based operators: runs of anything but ASCII white space.
@@ -54,6 +58,13 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def column(df: DataFrame, name: str):
-    """``df[name]`` that also works beside other columns whose names differ in case only."""
-    return df[f"`{name}`"]
+def small(batches: Iterator[pa.RecordBatch], at: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in pieces with about ``most`` bytes of text (column ``at``), so
+    that a worker's memory depends on that and its longest row, not on Spark's batches."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
+        piece = np.cumsum(size.astype(np.int64) + 16) // most
+        cuts = [0, *(np.flatnonzero(piece[1:] != piece[:-1]) + 1).tolist(), batch.num_rows]
+        for low, high in zip(cuts, cuts[1:]):
+            if low < high:
+                yield batch.slice(low, high - low)

@@ -31,6 +31,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .common import small
+
 WINDOW, SHINGLE = 8, 3
 #: Benchmark text in one broadcast index.
 BLOCK_BYTES = 4 << 20
@@ -164,7 +166,7 @@ def build(docs: DataFrame, items: DataFrame, window: int, shingle: int, text_col
 
         def tally(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index, total = shared.value, None
-            for batch in batches:
+            for batch in small(batches, 0):
                 ids, _ = index.ids(batch.column(0).to_pylist())
                 n = index.count(ids)
                 total = n if total is None else [a + b for a, b in zip(total, n, strict=True)]
@@ -194,7 +196,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
     out = T.StructType([*rest, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("hits", T.ArrayType(span)), T.StructField("items", T.ArrayType(T.StringType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, at):
             texts = batch.column(at).to_pylist()
             edge, found = None, defaultdict(set)
             for shared in blocks:

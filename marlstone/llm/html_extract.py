@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .common import small
 from .html_blocks import Leaf, leaves
 from .html_training import MARK, labelled_pages
 
@@ -171,7 +172,7 @@ def extract_text(pages: DataFrame, html_col: str = "html", field: Field | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = shared.value
-        for batch in batches:
+        for batch in small(batches, n):
             texts = [field.extract(x.as_py()) for x in batch.column(n)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(texts, pa.string())], names=out.names)
 

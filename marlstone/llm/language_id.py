@@ -27,13 +27,48 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from .common import small
+
 UNKNOWN = "und"
 #: Orders of the n-grams, the first tried first.
 ORDERS = (5, 4, 3, 2, 1)
 WORDS = re.compile(r"[^\W\d_]+")
 #: The posterior counts at most so many words, so that scores stay graded.
 EVIDENCE_WORDS = 12
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
+
+
+class Table:
+    """Log frequencies of strings in each language, by the strings' sorted 64-bit hashes: a few
+    bytes an entry, since every worker has a copy."""
+
+    def __init__(self, counts: dict[str, list[float]]) -> None:
+        names = np.array([name_of(s) for s in counts], np.uint64)
+        c = np.array(list(counts.values())) if counts else np.zeros((0, 1))
+        order = np.argsort(names)
+        self.names = names[order]
+        self.logs = np.log((c + 0.5) / (c.sum(axis=0) + 0.5 * max(names.size, 1)))[order].astype(np.float32)
+
+    def rows(self, strings: list[str]) -> np.ndarray:
+        """The rows of those strings that are known."""
+        names = np.array([name_of(s) for s in strings], np.uint64)
+        at = np.minimum(np.searchsorted(self.names, names), max(self.names.size - 1, 0))
+        return self.logs[at[self.names[at] == names]].astype(float) if self.names.size else self.logs[:0].astype(float)
+
+    def __contains__(self, string: str) -> bool:
+        return len(self.rows([string])) > 0
+
+    def __getitem__(self, string: str) -> np.ndarray:
+        return self.rows([string])[0]
+
+    def __len__(self) -> int:
+        return self.names.size
+
+
+def name_of(string: str) -> int:
+    from xxhash import xxh3_64_intdigest
+
+    return xxh3_64_intdigest(string.encode())
 
 
 class Model:
@@ -50,27 +85,18 @@ class Model:
             for order in ORDERS:
                 for g in ngrams(word, order):
                     grams[g][at[lang]] += c
-        self.words = self._logs(words)
-        self.grams: dict[str, np.ndarray] = {}
-        for order in ORDERS:
-            self.grams |= self._logs({g: v for g, v in grams.items() if len(g) == order})
-
-    def _logs(self, table: dict[str, list[float]]) -> dict[str, np.ndarray]:
-        if not table:
-            return {}
-        c = np.array(list(table.values()))
-        logs = np.log((c + 0.5) / (c.sum(axis=0) + 0.5 * len(table)))
-        return dict(zip(table, logs, strict=True))
+        self.words = Table(words)
+        self.grams = {order: Table({g: v for g, v in grams.items() if len(g) == order}) for order in ORDERS}
 
     def word_scores(self, word: str) -> np.ndarray:
-        known = self.words.get(word)
-        if known is not None:
-            return known
+        known = self.words.rows([word])
+        if len(known):
+            return known[0]
         for order in ORDERS:
             got = ngrams(word, order)
-            found = [self.grams[g] for g in got if g in self.grams]
-            if found and 2 * len(found) >= len(got):
-                return np.mean(found, axis=0)
+            found = self.grams[order].rows(got) if got else ()
+            if len(found) and 2 * len(found) >= len(got):
+                return found.mean(axis=0)
         return np.zeros(len(self.langs))
 
 
@@ -146,7 +172,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in batches:
+        for batch in small(batches, at):
             got = [scorer.predict(t) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], names=[*names, "lang_pred", "score"])
 

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import WHITE_SPACE, materialise
+from .common import WHITE_SPACE, materialise, small
 
 MIN_SITES, MIN_WORDS = 10, 3
 REGISTER_BITS = 8
@@ -81,7 +81,7 @@ def line_dedup(docs: DataFrame, site_col: str = "source", id_col: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
-        for batch in batches:
+        for batch in small(batches, at):
             texts, counts, cut = batch.column(at).to_pylist(), [], []
             for k, gone in enumerate(batch.column(len(names)).to_pylist()):
                 lines = texts[k].split("\n") if texts[k] is not None else []

@@ -43,7 +43,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialise
+from .common import materialise, small
 from .components import components
 
 SHINGLE_WORDS, PERCENT = 5, 80
@@ -54,7 +54,7 @@ BITS, FAR = 256, 56
 #: Shingles of a bucket that a task has in memory, about.
 GROUP_WEIGHT = 1 << 20
 #: Elements sketched at once, and word hashes kept per worker.
-CHUNK, CACHE_WORDS = 1 << 19, 300_000
+CHUNK, CACHE_WORDS = 1 << 19, 150_000
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _U = np.uint64
 
@@ -137,7 +137,7 @@ def sketched(docs: DataFrame, k: int) -> DataFrame:
         from xxhash import xxh3_128_digest
 
         hashes = WordHashes()
-        for batch in batches:
+        for batch in small(batches, 1):
             ids, texts = batch.column(0), batch.column(1)
             low = 0
             while low < batch.num_rows:
@@ -167,7 +167,7 @@ def sets_of(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in small(batches, 1):
             packed = [shingles(t, k, hashes).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["id", "set"])
 

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .bpe import load
+from .common import small
 
 RULES = ("first", "last", "most")
 
@@ -84,7 +85,7 @@ def token_counts(docs: DataFrame, vocab_path: str, fields: Sequence[str] = ("tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocab_path)
-        for batch in batches:
+        for batch in small(batches, 1):
             rows, columns = [], [batch.column(k + 1).to_pylist() for k in range(len(names))]
             numbers: list[np.ndarray] = []
             labels: list[str] = []

@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import materialise, scratch
+from .common import materialise, scratch, small
 
 #: Payload bytes in an archive, about; each is read whole.
 ARCHIVE_BYTES = 16 << 20
@@ -154,7 +154,7 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", payload_col: s
             records, size = [], 0
             return out
 
-        for batch in batches:
+        for batch in small(batches, 2):
             for page, url, payload, refers_to in zip(*(c for c in map(pa.Array.to_pylist, batch.columns)), strict=True):
                 records.append(make_record(page, url, payload, refers_to))
                 size += len(records[-1])
