@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import small
+from .common import ship, small
 
 #: Pre-tokenisation of byte-level BPE (fixed value: the vocabulary was built with it).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -176,6 +176,7 @@ def encode_decode(docs: DataFrame, vocab_path: str, text_col: str = "text") -> D
     A narrow map: no shuffle, memory bounded by an Arrow batch and the cache.
     ``vocab_path`` must exist on every worker machine, as installed packages do.
     """
+    ship(docs.sparkSession)
     rest = [f for f in docs.schema.fields if f.name != text_col]
     clash = {f.name.lower() for f in rest} & {"ids", "decoded"}
     if clash:

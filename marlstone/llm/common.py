@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +60,19 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per session; they need not have it installed."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_marlstone_shipped", False):
+        package = Path(__file__).resolve().parent.parent
+        path = Path(tempfile.mkdtemp(prefix="marlstone-code-")) / "marlstone.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for file in sorted(package.rglob("*.py")):
+                z.write(file, Path(package.name) / file.relative_to(package))
+        sc.addPyFile(str(path))
+        sc._marlstone_shipped = True
+
+
 def small(batches: Iterator[pa.RecordBatch], at: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches`` in pieces with about ``most`` bytes of text (column ``at``), so
     that a worker's memory depends on that and its longest row, not on Spark's batches."""

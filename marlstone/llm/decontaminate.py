@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import small
+from .common import ship, small
 
 WINDOW, SHINGLE = 8, 3
 #: Benchmark text in one broadcast index.
@@ -154,6 +154,7 @@ class Index:
 def build(docs: DataFrame, items: DataFrame, window: int, shingle: int, text_col: str, item_col: str, item_text_col: str) -> list:
     """One broadcast index per block of items."""
     spark = docs.sparkSession
+    ship(spark)
     rows = items.select(F.coalesce(F.col(f"`{item_col}`").cast("string"), F.lit("")).alias("item"), F.col(f"`{item_text_col}`").alias("text")).where("text IS NOT NULL")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = size // BLOCK_BYTES + 1

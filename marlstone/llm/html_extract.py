@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import small
+from .common import ship, small
 from .html_blocks import Leaf, leaves
 from .html_training import MARK, labelled_pages
 
@@ -165,6 +165,7 @@ def default_field() -> Field:
 
 def extract_text(pages: DataFrame, html_col: str = "html", field: Field | None = None) -> DataFrame:
     """``pages`` with the column ``text`` in place of the HTML."""
+    ship(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(field or default_field())
     rest = [f for f in pages.schema.fields if f.name != html_col and f.name.lower() != "text"]
     out = T.StructType([*rest, T.StructField("text", T.StringType())])

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from .common import small
+from .common import ship, small
 
 UNKNOWN = "und"
 #: Orders of the n-grams, the first tried first.
@@ -164,6 +164,7 @@ def held_out(doc_id: Column) -> Column:
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` appended: a narrow map, no shuffle."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rest = [f for f in docs.schema.fields if f.name.lower() not in ("lang_pred", "score")]
     out = T.StructType([*rest, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import WHITE_SPACE, materialise, small
+from .common import WHITE_SPACE, materialise, ship, small
 
 MIN_SITES, MIN_WORDS = 10, 3
 REGISTER_BITS = 8
@@ -64,6 +64,7 @@ def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
 
 def line_dedup(docs: DataFrame, site_col: str = "source", id_col: str = "doc_id", text_col: str = "text", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` without boilerplate lines, with ``n_lines`` and ``n_removed``."""
+    ship(docs.sparkSession)
     text = F.col(f"`{text_col}`")
     trimmed = F.transform(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACES)))
     long_enough = F.filter(trimmed, lambda x: F.size(F.split(x, WHITE_SPACE)) >= min_words)

@@ -43,7 +43,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialise, small
+from .common import materialise, ship, small
 from .components import components
 
 SHINGLE_WORDS, PERCENT = 5, 80
@@ -249,6 +249,7 @@ def labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 def near_dedup(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: ``id``, ``n_shingles``, ``component_id``, ``kept``."""
+    ship(docs.sparkSession)
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     rows = materialise(sketched(texts, shingle_words), "sketches")
     full = rows.where("n > 0 AND id IS NOT NULL")

@@ -75,4 +75,37 @@ k AS (SELECT l.doc_id, COUNT(*) AS n_lines, COUNT(*) FILTER (WHERE keeper IS NOT
 SELECT d.doc_id, COALESCE(n_lines, 0) AS n_lines, COALESCE(n_removed, 0) AS n_removed, sha256(COALESCE(kept, '')) AS kept_sha256
 FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id"""
 
-ORACLE_SQL: dict[str, str] = {"op3_warc": WARC, "op5_quality_rules": QUALITY, "op7_decontaminate": DECONTAMINATE, "op9_line_dedup": LINES}
+#: Bytes as pairs of hexadecimal digits; 50 bytes are 100 digits.
+REPEATS = """
+WITH d AS (SELECT doc_id, hex(encode(COALESCE(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS p FROM d)),
+f AS (SELECT s, MIN(doc_id) AS keeper FROM w GROUP BY s HAVING COUNT(*) > 1),
+m AS (SELECT doc_id, p FROM w JOIN f ON w.s = f.s WHERE keeper < doc_id),
+n AS (SELECT doc_id, p, CASE WHEN p - LAG(p) OVER (PARTITION BY doc_id ORDER BY p) <= 50 THEN 0 ELSE 1 END AS fresh FROM m),
+r AS (SELECT doc_id, p, SUM(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM n),
+spans AS (SELECT doc_id, MIN(p) AS a, MAX(p) + 50 AS b FROM r GROUP BY doc_id, run),
+ends AS (SELECT doc_id, a, b FROM spans UNION ALL SELECT doc_id, length(h) // 2, length(h) // 2 FROM d),
+gaps AS (SELECT doc_id, a, COALESCE(LAG(b) OVER (PARTITION BY doc_id ORDER BY a, b), 0) AS since FROM ends),
+kept AS (SELECT gaps.doc_id, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS k FROM gaps JOIN d ON d.doc_id = gaps.doc_id GROUP BY gaps.doc_id),
+sums AS (SELECT doc_id, SUM(b - a) AS n_removed, COUNT(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(COALESCE(n_removed, 0) AS BIGINT) AS n_removed, CAST(COALESCE(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM d JOIN kept ON d.doc_id = kept.doc_id LEFT JOIN sums ON d.doc_id = sums.doc_id"""
+
+#: Similar sets share one of their n - ceil(0.8 n) + 1 rarest shingles at least.
+COPIES = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {WORDS.format("translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, least(len(w), 1)) + 1)) AS i FROM w)),
+n AS (SELECT doc_id, COUNT(*) AS n FROM s GROUP BY doc_id),
+df AS (SELECT g, COUNT(*) AS df FROM s GROUP BY g),
+k AS (SELECT s.doc_id, s.g, n, ROW_NUMBER() OVER (PARTITION BY s.doc_id ORDER BY df, s.g) AS k FROM s JOIN df ON s.g = df.g JOIN n ON s.doc_id = n.doc_id),
+p AS (SELECT doc_id, g FROM k WHERE k <= n - (80 * n + 99) // 100 + 1),
+cand AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM p x JOIN p y ON x.g = y.g AND x.doc_id < y.doc_id),
+fits AS (SELECT a, b, x.n AS na, y.n AS nb FROM cand JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)),
+i AS (SELECT a, b, na, nb, COUNT(*) AS c FROM fits JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b AND x.g = y.g GROUP BY a, b, na, nb),
+e AS (SELECT a, b FROM i WHERE 100 * c >= 80 * (na + nb - c) UNION SELECT b, a FROM i WHERE 100 * c >= 80 * (na + nb - c)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+m AS (SELECT a, MIN(b) AS component_id FROM r GROUP BY a)
+SELECT d.doc_id, CAST(COALESCE(n, 0) AS BIGINT) AS n_shingles, component_id, component_id = d.doc_id AS kept
+FROM documents d JOIN m ON m.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
+
+ORACLE_SQL: dict[str, str] = {"op2_minhash_near_dedup": COPIES, "op3_warc": WARC, "op5_quality_rules": QUALITY, "op7_decontaminate": DECONTAMINATE, "op8_suffix_array_dedup": REPEATS, "op9_line_dedup": LINES}

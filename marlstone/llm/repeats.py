@@ -34,6 +34,8 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
+from .common import ship
+
 LENGTH, SEED = 50, 22
 #: Text of a block and of a part: from LEAST to MOST, growing with the square root of the input.
 LEAST, MOST, GROWS_FROM = 1 << 20, 4 << 20, 50 << 20
@@ -357,6 +359,7 @@ def suffix_part(table: pa.Table) -> pa.Table:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per row of ``docs``: ``id``, ``n_bytes``, ``n_removed``, ``n_spans``
     (maximal removed runs) and ``kept`` (the bytes that are left)."""
+    ship(docs.sparkSession)
     id_, text = F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = docs.select(F.coalesce(id_, F.lit(NO_ID)).alias("id"), id_.isNull().alias("no_id"), text.alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0

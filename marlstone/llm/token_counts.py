@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .bpe import load
-from .common import small
+from .common import ship, small
 
 RULES = ("first", "last", "most")
 
@@ -79,6 +79,7 @@ def token_counts(docs: DataFrame, vocab_path: str, fields: Sequence[str] = ("tex
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
+    ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType
     out = T.StructType([T.StructField(id_col, kind), T.StructField("field", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("section", "char_start", "char_end", "n_tokens", "n_crossing"))])
     names = list(fields)

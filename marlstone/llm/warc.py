@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import materialise, scratch, small
+from .common import materialise, scratch, ship, small
 
 #: Payload bytes in an archive, about; each is read whole.
 ARCHIVE_BYTES = 16 << 20
@@ -60,7 +60,7 @@ def block_of(headers: list[tuple[str, str]], block: bytes) -> bytes:
 def make_record(page: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
     """A response, or with ``refers_to`` a revisit that keeps the HTTP headers only."""
     digest = "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
-    target = "".join(c if c.isprintable() and c != " " else "%" + c.encode().hex().upper() for c in url or "")
+    target = "".join(c if c.isprintable() and c != " " else "".join(f"%{b:02X}" for b in c.encode()) for c in url or "")
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     uri = record_uri(page) if page is not None else f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{url}{digest}')}>"
     headers = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", uri), ("WARC-Date", DATE), ("WARC-Payload-Digest", digest)]
@@ -135,6 +135,7 @@ def responses(pages: DataFrame, id_col: str, payload_col: str, min_bytes: int) -
 
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", payload_col: str = "html", min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write archives to ``folder``; the manifest: ``path``, ``n_records``, ``n_bytes``."""
+    ship(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow.fs import FileSystem
@@ -169,6 +170,7 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", payload_col: s
 def read(manifest: DataFrame, payloads: bool = False) -> DataFrame:
     """A row per record of the archives that the manifest names, with its payload if asked for.
     Raises if a response's payload doesn't have its digest."""
+    ship(manifest.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow.fs import FileSystem
