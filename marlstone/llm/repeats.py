@@ -4,6 +4,8 @@ A byte of a document is removed if a string of ``LENGTH`` bytes that covers it
 also starts in a document with a smaller id.  A corpus has no suffix array of its
 own, so its windows of ``LENGTH`` bytes are dealt to many small ones:
 
+0. A document whose whole text a smaller one has is a repeat from end to end; such
+   copies are found by 128-bit hashes and left out of what follows.
 1. Each window is keyed by the smallest hash among the strings of ``SEED`` bytes
    in it.  Equal windows have equal keys, and neighbours mostly share a key, so
    a document is cut into runs of windows with one key.
@@ -33,8 +35,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
+from xxhash import xxh64_intdigest
 
-from .common import ship
+from .common import materialise, ship
 
 LENGTH, SEED = 50, 22
 #: Text of a block and of a part: from LEAST to MOST, growing with the square root of the input.
@@ -204,21 +207,29 @@ def hashes(raw: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray
     return out * _U(0xC4CEB9FE1A85EC53) + length.astype(_U)
 
 
+NO_COPIES = pa.table({"id": pa.array([], pa.int64()), "hash": pa.array([], pa.int64())})
 ORDER = [("id", "ascending"), ("text", "ascending")]
 
 
 class Block:
     """The documents of a block, in order of ids, their bytes one after the other."""
 
-    def __init__(self, table: pa.Table) -> None:
+    def __init__(self, table: pa.Table, copies: pa.Table) -> None:
+        """``copies`` has the ids and text hashes of documents that are copies of smaller ones."""
         table = table.select(["id", "text"]).sort_by(ORDER)
         self.ids = table.column("id").to_numpy()
         texts = [x.as_buffer() for x in table.column("text").cast(pa.large_binary())]
         self.begins = np.append(0, np.cumsum([len(x) for x in texts])).astype(np.int64)
         self.raw = np.frombuffer(b"".join(texts), np.uint8)
+        self.copy = np.zeros(len(texts), bool)
+        known = set(zip(copies.column("id").to_pylist(), copies.column("hash").to_pylist(), strict=True)) - {(None, None)}
+        if known:
+            signed = lambda x: int(np.uint64(xxh64_intdigest(x, 42)).astype(np.int64))  # noqa: E731  as Spark's xxhash64
+            maybe = np.flatnonzero(np.isin(self.ids, [i for i, _ in known])).tolist()
+            self.copy[[k for k in maybe if (int(self.ids[k]), signed(texts[k])) in known]] = True
 
     def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Runs of windows inside documents: document, key, first window, end."""
+        """Runs of windows inside documents that aren't copies: document, key, first window, end."""
         key, first, end = runs(self.raw)
         doc = np.searchsorted(self.begins, first, side="right") - 1
         last = np.searchsorted(self.begins, end - 1, side="right") - 1
@@ -228,7 +239,7 @@ class Block:
             doc = ragged(doc, n)
             key, first, end = key[at], np.maximum(first[at], self.begins[doc]), np.minimum(end[at], self.begins[doc + 1])
         end = np.minimum(end, self.begins[doc + 1] - LENGTH + 1)
-        real = first < end
+        real = (first < end) & ~self.copy[doc]
         return doc[real], key[real], first[real], end[real]
 
     def keys(self, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -236,7 +247,7 @@ class Block:
         that two documents have it, the next two how many runs there are."""
         doc, key, _, _ = self.runs()
         code, ids = codes(key, n_buckets), self.ids[doc]
-        order = np.lexsort((ids, code))
+        order = np.argsort(code)
         code, ids = code[order], ids[order]
         new = np.ones(code.size, bool)
         new[1:] = code[1:] != code[:-1]
@@ -245,7 +256,7 @@ class Block:
         code = code[new]
         flags = np.zeros(0, "<u4")
         if code.size:
-            flags = (ids[starts] != ids[ends - 1]).astype("<u4") | np.searchsorted(CLASSES[:-1], ends - starts).astype("<u4") << np.uint32(1)
+            flags = (np.minimum.reduceat(ids, starts) != np.maximum.reduceat(ids, starts)).astype("<u4") | np.searchsorted(CLASSES[:-1], ends - starts).astype("<u4") << np.uint32(1)
         return (code >> _U(32)).astype(np.int64), (code & _U(0xFFFFFFFF)).astype("<u4") | flags
 
     def segments(self, shared: np.ndarray, n_buckets: int) -> tuple[bytes, dict[str, np.ndarray]]:
@@ -276,7 +287,8 @@ class Block:
         group = np.cumsum(new) - 1
         least = self.ids[doc[new]]
         own = self.ids[doc] == least[group] if name.size else new
-        local = merged(first[~own], (first + length)[~own])
+        whole = np.flatnonzero(self.copy)
+        local = merged(np.concatenate([first[~own], self.begins[whole]]), np.concatenate([(first + length)[~own], self.begins[whole + 1]]))
         return local, {"first": first[new], "length": length[new], "id": least, "route": route[new], "n": np.bincount(group[own], minlength=int(new.sum())), "places": first[own]}
 
 
@@ -365,8 +377,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, int(total // min(MOST, max(LEAST, LEAST * (total / GROWS_FROM) ** 0.5))) + 1)
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)))
-    def keys_of(key: tuple, table: pa.Table) -> pa.Table:
-        buckets, names = Block(table).keys(n_blocks)
+    # Whole copies of smaller documents.
+    hashed = rows.where(F.octet_length("text") >= LENGTH).select("id", "block", F.xxhash64("text").alias("hash"), F.xxhash64(F.lit(1), "text").alias("hash2"))
+    firsts = hashed.groupBy("hash", "hash2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
+    copies = materialise(hashed.join(firsts, ["hash", "hash2"]).where("id > least").select("block", "id", "hash"), "copies")
+
+    def keys_of(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        buckets, names = Block(left, right).keys(n_blocks)
         out = [(b, names[at].tobytes()) for b, at in grouped(buckets)]
         return pa.table({"bucket": pa.array([b for b, _ in out], pa.int64()), "block": pa.array([key[0].as_py()] * len(out), pa.int64()), "names": pa.array([x for _, x in out], pa.binary())})
 
@@ -384,12 +401,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.table({"block": pa.array([b for b, _ in out], pa.int64()), "bucket": pa.array([key[0].as_py()] * len(out), pa.int64()), "names": pa.array([x for _, x in out], pa.binary())})
 
     def segments_of(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        block = Block(left, right)
+        right = right.filter(pa.compute.is_valid(right.column("names")))
         replies = [np.frombuffer(x.as_buffer(), "<u4") for x in right.column("names")]
         number = key[0].as_py()
         out = []
-        if left.num_rows and replies:
-            shared = np.sort(np.repeat(right.column("bucket").to_numpy().astype(_U) << _U(32), [x.size for x in replies]) | np.concatenate(replies))
-            block = Block(left)
+        if left.num_rows:
+            shared = np.sort(np.repeat(right.column("bucket").to_numpy().astype(_U) << _U(32), [x.size for x in replies]) | np.concatenate([np.zeros(0, "<u4"), *replies]))
             local, found = block.segments(shared, n_blocks)
             begin = np.cumsum(found["n"]) - found["n"]
             for part, at in grouped(deal(found["route"], n_blocks)):
@@ -402,7 +420,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.table({"block": pa.array([number] * len(out), pa.int64())} | columns)
 
     def cut(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        block = Block(left)
+        block = Block(left, NO_COPIES)
         left = left.sort_by(ORDER)
         edge = np.zeros(block.raw.size + 1, np.int32)
         spans = pairs_of(right.column("spans").to_pylist())
@@ -422,8 +440,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     # One plan, so that its three passes over the blocks read one shuffle of the texts.
     blocks = lambda: rows.groupBy("block")
-    keys = blocks().applyInArrow(keys_of, "bucket long, block long, names binary")
+    keys = blocks().cogroup(copies.groupBy("block")).applyInArrow(keys_of, "bucket long, block long, names binary")
     replies = keys.groupBy("bucket").applyInArrow(shared_keys, "block long, bucket long, names binary")
-    sent = blocks().cogroup(replies.groupBy("block")).applyInArrow(segments_of, "block long, part long, spans binary, raw binary, length binary, id binary, n binary, places binary")
+    told = replies.unionByName(copies, allowMissingColumns=True)
+    sent = blocks().cogroup(told.groupBy("block")).applyInArrow(segments_of, "block long, part long, spans binary, raw binary, length binary, id binary, n binary, places binary")
     spans = sent.groupBy("part").applyInArrow(suffix_part, "block long, spans binary")
     return blocks().cogroup(spans.groupBy("block")).applyInArrow(cut, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
