@@ -31,44 +31,13 @@ from .common import ship, small
 
 UNKNOWN = "und"
 #: Orders of the n-grams, the first tried first.
-ORDERS = (5, 4, 3, 2, 1)
+ORDERS = (4, 3, 2, 1)
+#: N-grams that training met less often are left out.
+MIN_GRAMS = 2
 WORDS = re.compile(r"[^\W\d_]+")
 #: The posterior counts at most so many words, so that scores stay graded.
 EVIDENCE_WORDS = 12
-CACHE_WORDS = 150_000
-
-
-class Table:
-    """Log frequencies of strings in each language, by the strings' sorted 64-bit hashes: a few
-    bytes an entry, since every worker has a copy."""
-
-    def __init__(self, counts: dict[str, list[float]]) -> None:
-        names = np.array([name_of(s) for s in counts], np.uint64)
-        c = np.array(list(counts.values())) if counts else np.zeros((0, 1))
-        order = np.argsort(names)
-        self.names = names[order]
-        self.logs = np.log((c + 0.5) / (c.sum(axis=0) + 0.5 * max(names.size, 1)))[order].astype(np.float32)
-
-    def rows(self, strings: list[str]) -> np.ndarray:
-        """The rows of those strings that are known."""
-        names = np.array([name_of(s) for s in strings], np.uint64)
-        at = np.minimum(np.searchsorted(self.names, names), max(self.names.size - 1, 0))
-        return self.logs[at[self.names[at] == names]].astype(float) if self.names.size else self.logs[:0].astype(float)
-
-    def __contains__(self, string: str) -> bool:
-        return len(self.rows([string])) > 0
-
-    def __getitem__(self, string: str) -> np.ndarray:
-        return self.rows([string])[0]
-
-    def __len__(self) -> int:
-        return self.names.size
-
-
-def name_of(string: str) -> int:
-    from xxhash import xxh3_64_intdigest
-
-    return xxh3_64_intdigest(string.encode())
+CACHE_WORDS = 250_000
 
 
 class Model:
@@ -85,19 +54,29 @@ class Model:
             for order in ORDERS:
                 for g in ngrams(word, order):
                     grams[g][at[lang]] += c
-        self.words = Table(words)
-        self.grams = {order: Table({g: v for g, v in grams.items() if len(g) == order}) for order in ORDERS}
-
-    def word_scores(self, word: str) -> np.ndarray:
-        known = self.words.rows([word])
-        if len(known):
-            return known[0]
-        for order in ORDERS:
+        self.words = logs(words)
+        self.orders = [(order, logs({g: v for g, v in grams.items() if len(g) == order and sum(v) >= MIN_GRAMS})) for order in ORDERS]
+
+    def word_scores(self, word: str) -> tuple[float, ...]:
+        known = self.words.get(word)
+        if known is not None:
+            return known
+        for order, table in self.orders:
             got = ngrams(word, order)
-            found = self.grams[order].rows(got) if got else ()
-            if len(found) and 2 * len(found) >= len(got):
-                return found.mean(axis=0)
-        return np.zeros(len(self.langs))
+            found = [x for x in map(table.get, got) if x is not None]
+            if found and 2 * len(found) >= len(got):
+                n = len(found)
+                return tuple(sum(c) / n for c in zip(*found, strict=True))
+        return (0.0,) * len(self.langs)
+
+
+def logs(table: dict[str, list[float]]) -> dict[str, tuple[float, ...]]:
+    """Smoothed log frequencies in each language."""
+    if not table:
+        return {}
+    c = np.array(list(table.values()))
+    rows = np.log((c + 0.5) / (c.sum(axis=0) + 0.5 * len(table)))
+    return dict(zip(table, map(tuple, rows.tolist()), strict=True))
 
 
 def ngrams(word: str, order: int) -> list[str]:
@@ -137,7 +116,7 @@ class Scorer:
         return self.model.langs[best], 1.0 / float(np.exp(odds).sum())
 
 
-def train(labelled: DataFrame, docs_per_lang: int = 400, words_per_lang: int = 20_000, max_langs: int = 64, text_col: str = "text", lang_col: str = "lang") -> Model:
+def train(labelled: DataFrame, docs_per_lang: int = 400, words_per_lang: int = 10_000, max_langs: int = 64, text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit on a bounded sample of ``labelled`` (see above)."""
     lang, text = F.col(f"`{lang_col}`"), F.col(f"`{text_col}`")
     labelled = labelled.select(lang.alias("lang"), text.alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
