@@ -194,7 +194,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def in_blocks(rows: DataFrame) -> DataFrame:
     """``rows`` (key, id, n, …) with ``part``: large buckets as all pairs of their blocks."""
-    weight = rows.groupBy("key").agg((F.sum("n") / (GROUP_WEIGHT // 2)).cast("int").alias("more"))
+    rows = materialise(rows, "left")
+    weight = materialise(rows.groupBy("key").agg((F.sum(F.col("n") + 16) / (GROUP_WEIGHT // 2)).cast("int").alias("more")), "weights")
     own = F.pmod(F.xxhash64("id"), F.col("more") + 1).cast("int")
     parts = F.transform(F.sequence(F.lit(0), F.col("more")), lambda j: F.least(own, j) * (F.col("more") + 1) + F.greatest(own, j))
     return rows.join(weight, "key").withColumn("part", F.explode(F.when(F.col("more") == 0, F.array(F.lit(0))).otherwise(parts))).drop("more")
@@ -205,8 +206,9 @@ def near(table: pa.Table) -> pa.Table:
     label, n = table.column("label").to_numpy(), table.column("n").to_numpy()
     marks = np.stack([table.column(f"b{k}").to_numpy().view(_U) for k in range(BITS // 64)], axis=1)
     found = np.zeros(n.size, bool)
-    for low in range(0, n.size, 256):
-        rows = slice(low, low + 256)
+    step = max(1, (1 << 19) // max(n.size, 1))
+    for low in range(0, n.size, step):
+        rows = slice(low, low + step)
         apart = np.bitwise_count(marks[rows, None, :] ^ marks[None, :, :]).sum(axis=2, dtype=np.int64)
         fits = (apart <= FAR) & (label[rows, None] != label[None, :])
         found[rows] |= fits.any(axis=1)
@@ -259,6 +261,7 @@ def near_dedup(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int
     # Buckets with two representatives at least.
     entries = rep_rows.select("id", F.explode("keys").alias("key"))
     shared = entries.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi").select("key", "size")
+    shared = materialise(shared, "shared")  # a join of two scans is one that Spark can split
     found = materialise(entries.join(shared, "key"), "buckets")
     mates = found.groupBy("id").agg(F.sum("size").alias("mates"))
     about = rep_rows.select("id", "n", *(F.col("bits")[k].alias(f"b{k}") for k in range(BITS // 64))).join(mates, "id")
@@ -282,7 +285,7 @@ def near_dedup(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int
         now = labelled(members, labels)
         rank = F.struct("mates", "id") if turn == 0 else F.struct(F.xxhash64("id", F.lit(turn)))
         open_ = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max_by(F.struct(*own), rank).alias("p")).where("lo < hi")
-        pairs = now.join(open_.select("key", "p"), "key").where((F.col("label") != F.col("p.label")) & alike("", "p.")).select("id", F.col("p.id").alias("other"))
+        pairs = now.join(materialise(open_.select("key", "p"), "open"), "key").where((F.col("label") != F.col("p.label")) & alike("", "p.")).select("id", F.col("p.id").alias("other"))
         pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
         new = materialise(verified(materialise(pairs, "candidates"), sets, percent).distinct(), "links")
         if not new.isEmpty():
@@ -290,7 +293,7 @@ def near_dedup(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int
             labels = components(links)
     now = labelled(members, labels)
     open_ = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    left = in_blocks(now.join(open_, "key", "left_semi")).groupBy("key", "part").applyInArrow(near, "key long, part int, id long, n long, label long")
+    left = in_blocks(now.join(materialise(open_, "open"), "key", "left_semi")).groupBy("key", "part").applyInArrow(near, "key long, part int, id long, n long, label long")
     tested = left.join(sets, "id").select("key", "part", "id", "label", "set").groupBy("key", "part").applyInArrow(linker(percent), "a long, b long")
     new = materialise(tested.distinct(), "links")
     if not new.isEmpty():
