@@ -124,13 +124,15 @@ def responses(pages: DataFrame, id_col: str, payload_col: str, min_bytes: int) -
     """``page_id``, ``url``, ``payload`` and the id a revisit refers to, or null.
 
     Ids are aggregated per digest before the shuffle, so a payload that a third
-    of all pages share sends a row a task; in the join back Spark splits it.
+    of all pages share sends a row a task.  Digests of several pages are written,
+    so that in the join back Spark knows both sides' sizes and splits a hot one.
     """
     url = F.col("`url`").cast("string") if "url" in pages.columns else F.lit(None).cast("string")
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), url.alias("url"), F.coalesce(F.col(f"`{payload_col}`"), F.lit("")).cast("binary").alias("payload"))
     keyed = rows.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
-    first = keyed.where(F.col("size") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("newest"))
-    return keyed.join(first, "digest", "left").select("page_id", "url", "payload", F.when(F.col("page_id").eqNullSafe(F.col("newest")), F.lit(None)).otherwise(F.col("newest")).alias("refers_to"))
+    shared = keyed.where(F.col("size") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("newest"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = materialise(shared.select("digest", "newest"), "warc-shared")
+    return keyed.join(first, "digest", "left").select("page_id", "url", "payload", F.when(F.col("newest").isNull() | F.col("page_id").eqNullSafe(F.col("newest")), F.lit(None)).otherwise(F.col("newest")).alias("refers_to"))
 
 
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", payload_col: str = "html", min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
