@@ -379,7 +379,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)))
     # Whole copies of smaller documents.
     hashed = rows.where(F.octet_length("text") >= LENGTH).select("id", "block", F.xxhash64("text").alias("hash"), F.xxhash64(F.lit(1), "text").alias("hash2"))
-    firsts = hashed.groupBy("hash", "hash2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
+    firsts = materialise(hashed.groupBy("hash", "hash2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most"), "firsts")
     copies = materialise(hashed.join(firsts, ["hash", "hash2"]).where("id > least").select("block", "id", "hash"), "copies")
 
     def keys_of(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
