@@ -1,0 +1,40 @@
+"""Queries over whole tables against SQL without ranges of keys."""
+
+import duckdb
+import pytest
+from test_queries import rows_of
+
+from marlstone.plans.queries import QUERIES
+
+A, B = "SELECT p_size AS k FROM part", "SELECT CAST(l_quantity AS INTEGER) AS k FROM lineitem WHERE l_quantity > 20"
+SUPPLIED = "FROM supplier {} JOIN nation ON NULLIF(s_nationkey, 3) = n_nationkey"
+WHOLE = {
+    "union_all": f"{A} UNION ALL {B}",
+    "union": f"{A} UNION {B}",
+    "except": f"{A} EXCEPT {B}",
+    "except_all": f"{A} EXCEPT ALL {B}",
+    "intersect": f"{A} INTERSECT {B}",
+    "intersect_all": f"{A} INTERSECT ALL {B}",
+    "except_all_anti": f"SELECT k FROM ({A}) a WHERE NOT EXISTS (SELECT 1 FROM ({B}) b WHERE a.k IS NOT DISTINCT FROM b.k)",
+    "intersect_all_semi": f"SELECT k FROM ({A}) a WHERE EXISTS (SELECT 1 FROM ({B}) b WHERE a.k IS NOT DISTINCT FROM b.k)",
+    "setop_precedence": f"{A} EXCEPT ({B} INTERSECT SELECT l_linenumber AS k FROM lineitem)",
+    "hash_join_right": f"SELECT s_suppkey, n_name {SUPPLIED.format('RIGHT')}",
+    "hash_join_full": f"SELECT s_suppkey, n_name {SUPPLIED.format('FULL')}",
+    "not_in_subquery_null": "SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT NULLIF(s_nationkey, 3) FROM supplier)",
+    "not_in_subquery": "SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_nationkey <> 3)",
+}
+
+
+@pytest.mark.parametrize("name", sorted(WHOLE))
+def test_query_equals_sql_over_whole_tables(spark, name):
+    folder, con = "/root/testdata/sf0.01", duckdb.connect()
+    for t in ("part", "lineitem", "supplier", "nation"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet')")
+    got, cursor = QUERIES[name](spark, folder), con.execute(WHOLE[name])
+    assert rows_of(got.columns, got.collect()) == rows_of([d[0] for d in cursor.description], cursor.fetchall())
+
+
+@pytest.mark.parametrize("name", sorted(WHOLE))
+def test_no_range_of_keys_reaches_the_scan(spark, sf, name):
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(f"{key}#" in line and ("<" in line or ">" in line) for key in ("p_partkey", "l_orderkey", "s_suppkey", "n_nationkey") for line in plan.splitlines() if "Filter" in line), plan
