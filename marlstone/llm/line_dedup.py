@@ -8,8 +8,8 @@ clear of the threshold decide; lines near it get exact distinct counts.  A line
 on ``min_sites`` sites or more is removed, except from the document with the
 smallest id that has it, so no text is lost from the corpus.
 
-Lines are compared without white space at their ends; lines with fewer than
-``MIN_WORDS`` words are left alone: they repeat by chance.
+Lines are compared without white space at their ends.  Every line that isn't
+blank counts, however short: the number of sites alone decides.
 
 Defined results: a null text has no lines and stays null; a document of which no
 line is left keeps the empty string; documents that share an id keep or lose a
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .common import WHITE_SPACE, materialise, ship, small
 
-MIN_SITES, MIN_WORDS = 10, 3
+MIN_SITES, MIN_WORDS = 10, 1
 REGISTER_BITS = 8
 REGISTERS = 1 << REGISTER_BITS
 #: Estimates within this share of the threshold are replaced by exact counts: four standard errors.
@@ -67,7 +67,7 @@ def line_dedup(docs: DataFrame, site_col: str = "source", id_col: str = "doc_id"
     ship(docs.sparkSession)
     text = F.col(f"`{text_col}`")
     trimmed = F.transform(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACES)))
-    long_enough = F.filter(trimmed, lambda x: F.size(F.split(x, WHITE_SPACE)) >= min_words)
+    long_enough = F.filter(trimmed, lambda x: (x != "") & (F.size(F.split(x, WHITE_SPACE)) >= min_words))
     hashes = F.array_distinct(F.transform(long_enough, lambda x: F.xxhash64(x)))
     site = F.coalesce(F.col(f"`{site_col}`").cast("string"), F.lit("\0"))
     lines = materialise(docs.select(F.explode(hashes).alias("line"), F.xxhash64(site).alias("site"), F.col(f"`{id_col}`").alias("id")), "lines")

@@ -47,3 +47,11 @@ def test_query_equals_brute_force(spark, sf):
     docs = [(r["doc_id"], r["text"], r["source"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = {r["doc_id"]: r["kept_sha256"] for r in queries.op9_line_dedup(spark, sf).collect()}
     assert got == {d: hashlib.sha256((t or "").encode()).hexdigest() for d, t in by_hand(docs, ld.MIN_SITES)}
+
+
+def test_short_lines_and_lines_without_spaces_count(spark):
+    short = ["Les.", "And ornd.", "版权所有，未经许可不得转载。"]
+    docs = [(k, "\n".join([*short, "", f"own line {k} here", " \t"]), f"s{k}") for k in range(ld.MIN_SITES)]
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in ld.line_dedup(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()}
+    assert got[0] == (docs[0][1], 0)
+    assert all(got[k] == (f"\nown line {k} here\n \t", 3) for k in range(1, ld.MIN_SITES))
