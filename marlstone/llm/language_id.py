@@ -120,15 +120,17 @@ def train(labelled: DataFrame, docs_per_lang: int = 400, words_per_lang: int = 1
     """Fit on a bounded sample of ``labelled`` (see above)."""
     lang, text = F.col(f"`{lang_col}`"), F.col(f"`{text_col}`")
     labelled = labelled.select(lang.alias("lang"), text.alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    # Copies of a text have one draw, so distinct draws count the different texts.
+    draw = F.pmod(F.xxhash64("text"), F.lit(1_000_000_007)) / 1_000_000_007
+    drawn = labelled.select("lang", draw.alias("draw")).groupBy("lang", "draw").count()
+    sizes = drawn.groupBy("lang").agg(F.sum("count").alias("rows"), F.count(F.lit(1)).alias("texts")).orderBy(F.desc("rows"), "lang").limit(max_langs).collect()
     if not sizes:
         return Model({})
     # A first cut by hash thins large languages in the scan, so that no sort gets a hot one.
-    cut = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(1.0, (docs_per_lang + 6 * math.sqrt(docs_per_lang) + 10) / r["count"]))))
-    draw = F.pmod(F.xxhash64("text"), F.lit(1_000_000_007)) / 1_000_000_007
+    cut = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(1.0, (docs_per_lang + 6 * math.sqrt(docs_per_lang) + 10) / r["texts"]))))
     thinned = labelled.withColumn("draw", draw).where(F.col("draw") <= cut[F.col("lang")])
     order = Window.partitionBy("lang").orderBy("draw")
-    # Copies of a text have one draw: one of them stands for all.
+    # One copy of a text stands for all.
     sample = thinned.dropDuplicates(["lang", "draw"]).withColumn("k", F.row_number().over(order)).where(F.col("k") <= docs_per_lang)
     words = sample.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word <> ''")
     counts = words.groupBy("lang", "word").count()

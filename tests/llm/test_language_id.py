@@ -37,3 +37,11 @@ def test_training_is_bounded_and_keeps_the_rest_out(spark):
     docs = spark.createDataFrame([("en", f"word{chr(97 + k % 26)} the") for k in range(300)], "lang string, text string")
     model = lid.train(docs, docs_per_lang=10, words_per_lang=3)
     assert 1 < len(model.words) <= 3 and "the" in model.words
+
+
+def test_a_language_that_is_mostly_copies_of_one_text_is_learned_from_the_others(spark):
+    copied = spark.range(100_000).selectExpr("'en' AS lang", "'hello' AS text")
+    words = ["".join(chr(97 + k // 26**i % 26) for i in range(3)) for k in range(300)]
+    others = spark.createDataFrame([("en", f"q{w}") for w in words] + [("fr", f"z{w}") for w in words], "lang string, text string")
+    model = lid.train(copied.unionByName(others))
+    assert set(model.words) == {"hello", *(f"{c}{w}" for c in "qz" for w in words)}
