@@ -11,7 +11,9 @@ import re
 from dataclasses import dataclass, field
 
 #: Elements that hold no text of the page (fixed values of HTML).
-RAW = {"script", "style", "template", "noscript", "iframe", "svg", "math", "textarea", "select", "title", "object", "canvas", "audio", "video"}
+RAW = {"script", "style", "iframe", "textarea", "title"}
+#: Elements that may stand in a paragraph, with text of their own.
+EMBEDDED = {"template", "noscript", "svg", "math", "select", "object", "canvas", "audio", "video"}
 #: Elements within a line; every other element begins and ends blocks.
 INLINE = set(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter nobr output picture progress q rp rt ruby s samp small source span strike strong sub sup time tt u var wbr".split()
@@ -123,7 +125,7 @@ def leaves(page: str) -> list[Leaf]:
                     break
             continue
         over, bound = CLOSES.get(tag, ((), ()))
-        if stack[-1].tag == "p":
+        if stack[-1].tag == "p" and tag not in EMBEDDED:
             stack.pop()
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].tag in bound:
@@ -131,8 +133,8 @@ def leaves(page: str) -> list[Leaf]:
             if stack[k].tag in over:
                 del stack[k:]
                 break
-        if tag not in VOID:
-            attributes = m[3] or m[6] or ""
+        attributes = m[3] or m[6] or ""
+        if tag not in VOID and not (tag in EMBEDDED and attributes.rstrip().endswith("/")):
             key = (id(stack[-1]), tag, attributes)
             element = known.get(key)
             if element is None:

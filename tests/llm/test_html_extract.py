@@ -88,3 +88,17 @@ def test_nulls_ties_and_clashes(spark):
     got = hx.extract_text(pages).collect()
     assert [bool(r["text"]) for r in got] == [False, False, True, True, False] and got[0]["text"] == ""
     assert hx.extract_text(pages.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("tag", ["template", "noscript", "svg", "math", "select", "object", "canvas", "audio", "video"])
+def test_elements_with_text_of_their_own_lose_nothing(tag):
+    assert texts(f"<p>a<{tag} src=x><p>b<p>c") == ["a", "b", "c"]
+    assert texts(f"<p>a<{tag}>b</{tag}>c</p>d") == ["a", "b", "c", "d"]
+    assert texts(f"<p>a<{tag} />b</p>c") == ["a", "b", "c"]
+    after = leaves(f"<p>a<{tag}>b</{tag}>c</p>")
+    assert [x.element.tag for x in after] == ["p", tag, "p"]
+
+
+def test_an_open_video_keeps_the_rest_of_the_article():
+    page = PAGE.replace("<p>Second", "<video src=v><p>Second")
+    assert hx.default_field().extract(page) == hx.default_field().extract(PAGE)
