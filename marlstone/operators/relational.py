@@ -63,7 +63,14 @@ def intersect_rows(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def not_in(df: DataFrame, column: str, other: DataFrame) -> DataFrame:
-    """``column NOT IN (SELECT …)``: nothing if the other side holds a NULL."""
-    name = other.columns[0]
-    a, b = df.alias("l"), other.alias("r")
-    return a.join(b, F.expr(f"l.`{column}` = r.`{name}` OR l.`{column}` = r.`{name}` IS NULL"), "left_anti")
+    """``column NOT IN (SELECT …)``: nothing if the other side holds a NULL.
+
+    An anti join on equality, which Spark may shuffle or split, and two counts
+    of the other side that settle NULLs: Spark's own null-aware anti join
+    always broadcasts the sub-query, whatever its size.
+    """
+    name, value = other.columns[0], F.col(f"`{column}`")
+    counts = other.agg(F.struct(F.count(F.lit(1)).alias("all"), F.count(f"`{name}`").alias("known")).alias("c")).scalar()
+    open_ = (counts["all"] == 0) | ((counts["all"] == counts["known"]) & value.isNotNull())
+    a, b = df.where(open_).alias("l"), other.where(F.col(f"`{name}`").isNotNull()).alias("r")
+    return a.join(b, F.col(f"l.`{column}`") == F.col(f"r.`{name}`"), "left_anti")

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 from test_queries import rows_of
 
+from marlstone.operators import relational as R
 from marlstone.plans.queries import QUERIES
 
 A, B = "SELECT p_size AS k FROM part", "SELECT CAST(l_quantity AS INTEGER) AS k FROM lineitem WHERE l_quantity > 20"
@@ -38,3 +39,19 @@ def test_query_equals_sql_over_whole_tables(spark, name):
 def test_no_range_of_keys_reaches_the_scan(spark, sf, name):
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert not any(f"{key}#" in line and ("<" in line or ">" in line) for key in ("p_partkey", "l_orderkey", "s_suppkey", "n_nationkey") for line in plan.splitlines() if "Filter" in line), plan
+
+
+def test_not_in_follows_three_valued_logic_without_a_forced_broadcast(spark):
+    frame = lambda *v: spark.createDataFrame([(x,) for x in v], "k int")
+    got = lambda a, b: sorted((r[0] for r in R.not_in(frame(*a), "k", frame(*b)).collect()), key=str)
+    assert got((1, 2, None), (2, 3)) == [1]
+    assert got((1, 2, None), (2, None)) == []
+    assert got((1, 1, None), ()) == [1, 1, None]
+    assert got((1, None), (None,)) == []
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = R.not_in(frame(1, 2), "k", frame(2))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert "Broadcast" not in plan
