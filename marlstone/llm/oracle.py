@@ -16,7 +16,7 @@ SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
        CASE WHEN page_id = newest THEN NULL ELSE newest END AS refers_to
 FROM d"""
 
-#: Quantile sketches as the operator keeps them: exact below 64, then 32 buckets to a doubling.
+#: Quantile sketches as the operator keeps them: exact below 512, then 256 buckets to a doubling.
 QUALITY = rf"""
 WITH t AS (SELECT doc_id, lang, source, COALESCE(text, '') AS x FROM documents),
 w AS (SELECT doc_id, lang, source, x, {WORDS.format("x")} AS words, list_filter(string_split(x, chr(10)), lambda s: regexp_matches(s, '[^\x20\x09-\x0D]')) AS ls FROM t),
@@ -29,26 +29,30 @@ c AS (
          CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(COALESCE(cover.n, 0) AS BIGINT) AS n_repeat_words
   FROM w LEFT JOIN cover ON w.doc_id = cover.doc_id),
 r AS (
-  SELECT *, 10000 * n_symbols // greatest(word_chars, 1) AS r0, 10000 * n_dup_lines // greatest(n_lines, 1) AS r1,
-         10000 * n_repeat_words // greatest(n_words, 1) AS r2, 100 * word_chars // greatest(n_words, 1) AS r3 FROM c),
-v AS (SELECT lang, source, 0 AS k, r0 AS v FROM r UNION ALL SELECT lang, source, 1, r1 FROM r UNION ALL SELECT lang, source, 2, r2 FROM r UNION ALL SELECT lang, source, 3, r3 FROM r),
-s AS (SELECT lang, source, k, (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) AS b FROM v),
+  SELECT c.*, t.x, 10000 * n_symbols // greatest(word_chars, 1) AS r0, 10000 * n_dup_lines // greatest(n_lines, 1) AS r1,
+         10000 * n_repeat_words // greatest(n_words, 1) AS r2, 100 * word_chars // greatest(n_words, 1) AS r3,
+         n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c JOIN t ON c.doc_id = t.doc_id),
+o AS (SELECT DISTINCT lang, source, x, r0, r1, r2, r3, word_chars, n_lines, n_words FROM r WHERE NOT base_failed),
+v AS (SELECT lang, source, unnest(range(7)) AS k, unnest([r0, r1, r2, r3, word_chars, n_lines, n_words]) AS v FROM o),
+s AS (SELECT lang, source, k, (v >> greatest(length(bin(v)) - 9, 0)) << greatest(length(bin(v)) - 9, 0) AS b FROM v),
 lv AS (SELECT 0 AS lvl, lang, source, k, b FROM s UNION ALL SELECT 1, lang, NULL, k, b FROM s UNION ALL SELECT 2, NULL, NULL, k, b FROM s),
 h AS (SELECT lvl, lang, source, k, b, COUNT(*) AS n FROM lv GROUP BY lvl, lang, source, k, b),
 u AS (SELECT *, SUM(n) OVER (PARTITION BY lvl, lang, source, k ORDER BY b) AS upto, SUM(n) OVER (PARTITION BY lvl, lang, source, k) AS total FROM h),
 q AS (SELECT lvl, lang, source, k, MAX(total) AS total, MIN(CASE WHEN 100 * upto >= 25 * total THEN b END) AS q25, MIN(CASE WHEN 100 * upto >= 50 * total THEN b END) AS q50,
-        MIN(CASE WHEN 100 * upto >= 75 * total THEN b END) AS q75 FROM u GROUP BY lvl, lang, source, k),
-f AS (SELECT lvl, lang, source, k, total, q50, 8 * greatest(q75 - q50, q50 - q25, CASE k WHEN 0 THEN 60 WHEN 1 THEN 500 WHEN 2 THEN 400 ELSE 50 END) AS reach FROM q),
-x AS (SELECT lvl, lang, source, MAX(total) AS total, MAX(CASE WHEN k = 0 THEN q50 + reach END) AS h0, MAX(CASE WHEN k = 1 THEN q50 + reach END) AS h1,
-        MAX(CASE WHEN k = 2 THEN q50 + reach END) AS h2, MAX(CASE WHEN k = 3 THEN q50 + reach END) AS h3, MAX(CASE WHEN k = 3 THEN q50 - reach END) AS l3 FROM f GROUP BY lvl, lang, source),
+        MIN(CASE WHEN 100 * upto >= 75 * total THEN b END) AS q75, MIN(CASE WHEN 100 * upto >= 90 * total THEN b END) AS q90 FROM u GROUP BY lvl, lang, source, k),
+e AS (SELECT a.lvl, a.lang, a.source, a.k, a.total, a.q25, a.q50, a.q75, a.q90, CASE a.k WHEN 2 THEN 240000 WHEN 3 THEN 4 * a.q50 ELSE 40000 END AS slack, z.q50 AS size
+      FROM q a JOIN q z ON a.lvl = z.lvl AND a.lang IS NOT DISTINCT FROM z.lang AND a.source IS NOT DISTINCT FROM z.source AND z.k = CASE a.k WHEN 0 THEN 4 WHEN 1 THEN 5 ELSE 6 END WHERE a.k < 4),
+g2 AS (SELECT *, greatest(8 * least(q75 - q50, q50 - q25), slack // greatest(size, 1)) AS reach FROM e),
+f AS (SELECT *, greatest(q50 + reach, least(q90 + 2 * (q90 - q50), q50 + 2 * reach)) AS high, q50 - reach AS low FROM g2),
+p AS (
+  SELECT r.*, CASE WHEN a.total >= 100 THEN 0 WHEN b.total >= 100 THEN 1 ELSE 2 END AS lvl
+  FROM r LEFT JOIN f a ON a.lvl = 0 AND a.k = 0 AND a.lang IS NOT DISTINCT FROM r.lang AND a.source IS NOT DISTINCT FROM r.source
+         LEFT JOIN f b ON b.lvl = 1 AND b.k = 0 AND b.lang IS NOT DISTINCT FROM r.lang),
 j AS (
-  SELECT r.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-    CASE WHEN a.total >= 100 THEN r0 <= a.h0 AND r1 <= a.h1 AND r2 <= a.h2 AND r3 <= a.h3 AND r3 >= a.l3
-         WHEN b.total >= 100 THEN r0 <= b.h0 AND r1 <= b.h1 AND r2 <= b.h2 AND r3 <= b.h3 AND r3 >= b.l3
-         ELSE r0 <= z.h0 AND r1 <= z.h1 AND r2 <= z.h2 AND r3 <= z.h3 AND r3 >= z.l3 END AS passes
-  FROM r JOIN x a ON a.lvl = 0 AND a.lang IS NOT DISTINCT FROM r.lang AND a.source IS NOT DISTINCT FROM r.source
-         JOIN x b ON b.lvl = 1 AND b.lang IS NOT DISTINCT FROM r.lang JOIN x z ON z.lvl = 2)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND passes AS kept FROM j"""
+  SELECT p.doc_id, p.x, BOOL_AND(CASE f.k WHEN 0 THEN 10000 * n_symbols <= high * word_chars + slack WHEN 1 THEN 10000 * n_dup_lines <= high * n_lines + slack
+           WHEN 2 THEN 10000 * n_repeat_words <= high * n_words + slack ELSE 100 * word_chars <= high * n_words + slack AND 100 * word_chars >= low * n_words - slack END) AS passes
+  FROM p JOIN f ON f.lvl = p.lvl AND (p.lvl = 2 OR f.lang IS NOT DISTINCT FROM p.lang) AND (p.lvl > 0 OR f.source IS NOT DISTINCT FROM p.source) GROUP BY p.doc_id, p.x)
+SELECT r.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND COALESCE(passes, TRUE) AS kept FROM r LEFT JOIN j ON r.doc_id = j.doc_id"""
 
 CLEAN = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 DECONTAMINATE = f"""
@@ -68,7 +72,7 @@ FROM d LEFT JOIN hits ON d.doc_id = hits.doc_id LEFT JOIN its ON d.doc_id = its.
 LINES = f"""
 WITH l AS (SELECT doc_id, source, i, ls[i] AS line, {TRIM.format("ls[i]")} AS x
            FROM (SELECT doc_id, source, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, source, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL))),
-b AS (SELECT x, MIN(doc_id) AS keeper FROM l WHERE len({WORDS.format("x")}) >= 3 GROUP BY x HAVING COUNT(DISTINCT COALESCE(source, chr(1))) >= 10),
+b AS (SELECT x, MIN(doc_id) AS keeper FROM l WHERE x <> '' GROUP BY x HAVING COUNT(DISTINCT COALESCE(source, chr(1))) >= 10),
 k AS (SELECT l.doc_id, COUNT(*) AS n_lines, COUNT(*) FILTER (WHERE keeper IS NOT NULL AND keeper <> l.doc_id) AS n_removed,
              string_agg(line, chr(10) ORDER BY i) FILTER (WHERE keeper IS NULL OR keeper = l.doc_id) AS kept
       FROM l LEFT JOIN b ON l.x = b.x GROUP BY l.doc_id)
