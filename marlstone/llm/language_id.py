@@ -4,27 +4,30 @@ A word the model knows scores by its log frequency in each language.  A word it
 doesn't know falls back to its character n-grams, the longest order first and
 shorter ones only while fewer than half of that order's n-grams are known.
 
-Training counts words of a bounded sample: at most ``docs_per_lang`` labelled
-different texts of each language, the ones with the smallest hash, and
-keeps the ``words_per_lang`` most frequent words of each of at most ``max_langs``
-languages.  These bounds are what bounds the broadcast model.  Prediction reads
-every text whole.
+Training counts the words of a bounded sample: at most ``docs_per_lang`` labelled
+different texts of each language, the ones with the smallest hash.  That is the
+only bound: every label is learned, with every word and n-gram of its sample, and
+the model, which is broadcast, grows with the number of labels alone.  Prediction
+reads every text whole.
+
+Words are runs of letters, lower-cased, in training as in prediction.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
 repeated rows and ties get equal results (languages are tried in name order);
 a null label is no label; an empty training set makes every text ``und``; texts
-are never cut; columns other than those named are ignored.
+are never cut, and a long text costs memory for its words, not for words times
+languages; other columns are carried through, except ``lang_pred`` and ``score``.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from .common import ship, small
@@ -34,49 +37,73 @@ UNKNOWN = "und"
 ORDERS = (4, 3, 2, 1)
 #: N-grams that training met less often are left out.
 MIN_GRAMS = 2
-WORDS = re.compile(r"[^\W\d_]+")
+WORDS = regex.compile(r"\p{L}+")
 #: The posterior counts at most so many words, so that scores stay graded.
 EVIDENCE_WORDS = 12
-CACHE_WORDS = 250_000
+#: Scores of words met that a worker keeps, and words of a text scored at once.
+CACHE_BYTES, CHUNK_WORDS = 16 << 20, 1 << 16
+
+
+def words_of(text: str) -> list[str]:
+    return WORDS.findall(text.lower())
+
+
+class Table:
+    """Smoothed log frequencies of words, or of n-grams of one order, in each language.
+
+    ``floor`` holds what a language gives to an entry it lacks; an entry keeps
+    only what the languages that have it gain over that.
+    """
+
+    def __init__(self, counts: dict[str, dict[int, int]], n_langs: int) -> None:
+        totals = np.full(n_langs, 0.5 * len(counts))
+        for of in counts.values():
+            for lang, c in of.items():
+                totals[lang] += c
+        self.floor = np.log(0.5 / totals) if counts else np.zeros(n_langs)
+        self.gains = {x: (tuple(of), tuple(math.log(2 * c + 1) for c in of.values())) for x, of in counts.items()}
+
+    def add(self, x: str, to: np.ndarray) -> bool:
+        """Add an entry's log frequencies, if it is known."""
+        found = self.gains.get(x)
+        if found is None:
+            return False
+        to += self.floor
+        for lang, gain in zip(*found, strict=True):
+            to[lang] += gain
+        return True
 
 
 class Model:
-    """Per-language log frequencies of words and n-grams; small enough to broadcast."""
+    """Per-language log frequencies of words and n-grams, to be broadcast."""
 
     def __init__(self, counts: dict[tuple[str, str], int]) -> None:
         self.langs = sorted({lang for lang, _ in counts})
         at = {lang: k for k, lang in enumerate(self.langs)}
-        n = len(self.langs)
-        words: dict[str, list[float]] = defaultdict(lambda: [0.0] * n)
-        grams: dict[str, list[float]] = defaultdict(lambda: [0.0] * n)
-        for (lang, word), c in counts.items():
-            words[word][at[lang]] += c
+        words: dict[str, dict[int, int]] = defaultdict(dict)
+        grams: dict[int, dict[str, dict[int, int]]] = {order: defaultdict(dict) for order in ORDERS}
+        for (lang, word), c in sorted(counts.items()):
+            k = at[lang]
+            words[word][k] = words[word].get(k, 0) + c
             for order in ORDERS:
                 for g in ngrams(word, order):
-                    grams[g][at[lang]] += c
-        self.words = logs(words)
-        self.orders = [(order, logs({g: v for g, v in grams.items() if len(g) == order and sum(v) >= MIN_GRAMS})) for order in ORDERS]
-
-    def word_scores(self, word: str) -> tuple[float, ...]:
-        known = self.words.get(word)
-        if known is not None:
-            return known
+                    of = grams[order][g]
+                    of[k] = of.get(k, 0) + c
+        n = len(self.langs)
+        self.words = Table(words, n)
+        self.orders = [(order, Table({g: of for g, of in grams[order].items() if sum(of.values()) >= MIN_GRAMS}, n)) for order in ORDERS]
+
+    def word_scores(self, word: str) -> np.ndarray:
+        out = np.zeros(len(self.langs))
+        if self.words.add(word, out):
+            return out
         for order, table in self.orders:
             got = ngrams(word, order)
-            found = [x for x in map(table.get, got) if x is not None]
-            if found and 2 * len(found) >= len(got):
-                n = len(found)
-                return tuple(sum(c) / n for c in zip(*found, strict=True))
-        return (0.0,) * len(self.langs)
-
-
-def logs(table: dict[str, list[float]]) -> dict[str, tuple[float, ...]]:
-    """Smoothed log frequencies in each language."""
-    if not table:
-        return {}
-    c = np.array(list(table.values()))
-    rows = np.log((c + 0.5) / (c.sum(axis=0) + 0.5 * len(table)))
-    return dict(zip(table, map(tuple, rows.tolist()), strict=True))
+            n = sum(table.add(g, out) for g in got)
+            if n and 2 * n >= len(got):
+                return out / n
+            out[:] = 0
+        return out
 
 
 def ngrams(word: str, order: int) -> list[str]:
@@ -90,52 +117,66 @@ class Scorer:
 
     def __init__(self, model: Model) -> None:
         self.model, self.rows = model, {}
+        self.most = max(CACHE_BYTES // (8 * max(len(model.langs), 1)), 1024)
         self.table = np.zeros((1024, len(model.langs)))
 
     def _row(self, word: str) -> int:
-        k = self.rows.get(word)
-        if k is None:
-            if (k := len(self.rows)) == len(self.table):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.table[k] = self.model.word_scores(word)
-            self.rows[word] = k
+        k = len(self.rows)
+        if k == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.table[k] = self.model.word_scores(word)
+        self.rows[word] = k
         return k
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = WORDS.findall(text.lower()) if text else []
-        if not words or not self.model.langs or not any(c.isalpha() for w in words for c in w):
-            return UNKNOWN, 0.0
-        if len(self.rows) > CACHE_WORDS:
-            self.rows.clear()
+    def _sum(self, words: list[str]) -> np.ndarray:
+        """Scores of some words, added up; the cache may outgrow its bound by these words."""
+        if len(self.rows) > self.most:
+            self.rows, self.table = {}, np.zeros((1024, len(self.model.langs)))
         found = list(map(self.rows.get, words))
         if None in found:
-            found = [self._row(w) if k is None else k for k, w in zip(found, words, strict=True)]
-        mean = self.table[found].sum(axis=0) / len(words)
+            for w in dict.fromkeys(w for k, w in zip(found, words, strict=True) if k is None):
+                self._row(w)
+            found = list(map(self.rows.get, words))
+        n = np.bincount(found)
+        met = np.flatnonzero(n)
+        return n[met] @ self.table[met]
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        words = words_of(text) if text else []
+        if not words or not self.model.langs:
+            return UNKNOWN, 0.0
+        step = min(CHUNK_WORDS, self.most)
+        mean = sum((self._sum(words[k : k + step]) for k in range(0, len(words), step)), np.zeros(len(self.model.langs))) / len(words)
         odds = (mean - mean.max()) * min(len(words), EVIDENCE_WORDS)
         best = int(np.argmax(odds))
         return self.model.langs[best], 1.0 / float(np.exp(odds).sum())
 
 
-def train(labelled: DataFrame, docs_per_lang: int = 400, words_per_lang: int = 10_000, max_langs: int = 64, text_col: str = "text", lang_col: str = "lang") -> Model:
+def train(labelled: DataFrame, docs_per_lang: int = 400, text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit on a bounded sample of ``labelled`` (see above)."""
-    lang, text = F.col(f"`{lang_col}`"), F.col(f"`{text_col}`")
+    ship(labelled.sparkSession)
+    lang, text = F.col(f"`{lang_col}`").cast("string"), F.col(f"`{text_col}`").cast("string")
     labelled = labelled.select(lang.alias("lang"), text.alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
     # Copies of a text have one draw, so distinct draws count the different texts.
     draw = F.pmod(F.xxhash64("text"), F.lit(1_000_000_007)) / 1_000_000_007
-    drawn = labelled.select("lang", draw.alias("draw")).groupBy("lang", "draw").count()
-    sizes = drawn.groupBy("lang").agg(F.sum("count").alias("rows"), F.count(F.lit(1)).alias("texts")).orderBy(F.desc("rows"), "lang").limit(max_langs).collect()
-    if not sizes:
-        return Model({})
+    texts = labelled.select("lang", draw.alias("draw")).distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("texts"))
     # A first cut by hash thins large languages in the scan, so that no sort gets a hot one.
-    cut = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(1.0, (docs_per_lang + 6 * math.sqrt(docs_per_lang) + 10) / r["texts"]))))
-    thinned = labelled.withColumn("draw", draw).where(F.col("draw") <= cut[F.col("lang")])
+    cuts = texts.select("lang", (F.lit(docs_per_lang + 6 * math.sqrt(docs_per_lang) + 10) / F.col("texts")).alias("cut"))
+    thinned = labelled.withColumn("draw", draw).join(cuts, "lang").where(F.col("draw") <= F.col("cut"))
     order = Window.partitionBy("lang").orderBy("draw")
     # One copy of a text stands for all.
-    sample = thinned.dropDuplicates(["lang", "draw"]).withColumn("k", F.row_number().over(order)).where(F.col("k") <= docs_per_lang)
-    words = sample.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word <> ''")
-    counts = words.groupBy("lang", "word").count()
-    top = counts.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))).where(F.col("k") <= words_per_lang)
-    return Model({(r["lang"], r["word"]): r["count"] for r in top.select("lang", "word", "count").collect()})
+    sample = thinned.dropDuplicates(["lang", "draw"]).withColumn("k", F.row_number().over(order)).where(F.col("k") <= docs_per_lang).select("lang", "text")
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches, 1):
+            found = [words_of(t) for t in batch.column(1).to_pylist()]
+            langs = np.repeat(np.arange(batch.num_rows), [len(w) for w in found])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(langs)), pa.array([w for x in found for w in x], pa.string())], names=["lang", "word"])
+
+    counts = sample.mapInArrow(split, "lang string, word string").groupBy("lang", "word").count()
+    model = {(r["lang"], r["word"]): r["count"] for r in counts.toLocalIterator()}
+    # A language none of whose sampled texts has a letter is no less a label, but nothing can be said of it.
+    return Model(model)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -3,8 +3,10 @@
 A line's sites are counted with a HyperLogLog sketch: a site's hash picks one of
 ``REGISTERS`` registers and raises it to its rank.  Sketches are kept as rows
 (line, register, rank), so they merge by ``max`` and Spark combines them before
-the shuffle; a line on every site has ``REGISTERS`` rows at most.  Estimates
-clear of the threshold decide; lines near it get exact distinct counts.  A line
+the shuffle; a line on every site has ``REGISTERS`` rows at most.  As many
+registers as sites that are asked for prove that a line is on enough sites; so
+few that chance can't explain it rule it out; lines between get exact distinct
+counts.  A line
 on ``min_sites`` sites or more is removed, except from the document with the
 smallest id that has it, so no text is lost from the corpus.
 
@@ -21,6 +23,7 @@ other than the text, ``n_lines`` and ``n_removed`` are carried through.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -30,8 +33,10 @@ from .common import WHITE_SPACE, materialise, ship, small
 MIN_SITES, MIN_WORDS = 10, 1
 REGISTER_BITS = 8
 REGISTERS = 1 << REGISTER_BITS
-#: Estimates within this share of the threshold are replaced by exact counts: four standard errors.
-NEAR = 4 * 1.04 / REGISTERS**0.5
+#: A line that is on enough sites is left without an exact count with less than this probability.
+MISS = 1e-12
+#: Where sketches are full, estimates within this share of the threshold get exact counts: 7.5 standard errors.
+NEAR = 7.5 * 1.04 / REGISTERS**0.5
 SPACES = " \t\n\x0b\x0c\r"
 
 
@@ -49,14 +54,31 @@ def estimate(power_sum: Column, filled: Column) -> Column:
     return F.when((raw <= 2.5 * REGISTERS) & (empty > 0), m * F.log(m / empty)).otherwise(raw)
 
 
+@lru_cache
+def least_filled(sites: int) -> int:
+    """Registers that so many sites fill at least, but for the probability ``MISS``."""
+    chance = [1.0] + [0.0] * REGISTERS  # of k filled registers after each site
+    for _ in range(sites):
+        chance = [0.0] + [chance[k] * k / REGISTERS + chance[k - 1] * (REGISTERS - k + 1) / REGISTERS for k in range(1, REGISTERS + 1)]
+    below, k = 0.0, 0
+    while below + chance[k] < MISS:
+        below += chance[k]
+        k += 1
+    return k
+
+
 def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
     """``line`` and ``first_id`` of lines on enough sites; ``lines`` has line, site, id."""
     register, rank = registers(F.col("site"))
     sketches = lines.groupBy("line", register.alias("register")).agg(F.max(rank).alias("rank"), F.min("id").alias("first_id"))
     merged = sketches.groupBy("line").agg(F.sum(F.pow(F.lit(2.0), -F.col("rank"))).alias("powers"), F.count(F.lit(1)).alias("filled"), F.min("first_id").alias("first_id"))
-    judged = materialise(merged.withColumn("sites", estimate(F.col("powers"), F.col("filled"))).where(F.col("sites") >= min_sites * (1 - NEAR)).select("line", "first_id", "sites"), "line-spread")
-    far = judged.where(F.col("sites") > min_sites * (1 + NEAR)).select("line", "first_id")
-    near = judged.where(F.col("sites") <= min_sites * (1 + NEAR)).select("line", "first_id")
+    # Sites fill a register each at most.  With few sites their number decides alone, with many the estimate.
+    few = min_sites <= REGISTERS
+    sure = F.col("filled") >= min_sites if few else F.col("sites") > min_sites * (1 + NEAR)
+    possible = F.col("filled") >= least_filled(min_sites) if few else F.col("sites") >= min_sites * (1 - NEAR)
+    judged = materialise(merged.withColumn("sites", estimate(F.col("powers"), F.col("filled"))).where(sure | possible).select("line", "first_id", sure.alias("sure")), "line-spread")
+    far = judged.where("sure").select("line", "first_id")
+    near = judged.where("NOT sure").select("line", "first_id")
     pairs = lines.join(near.select("line"), "line", "left_semi").select("line", "site").distinct()
     exact = pairs.groupBy("line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_sites).select("line")
     return far.unionByName(near.join(exact, "line", "left_semi"))

@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+from pyspark.sql import functions as F
+
 from marlstone.llm import line_dedup as ld, queries
 
 
@@ -55,3 +57,24 @@ def test_short_lines_and_lines_without_spaces_count(spark):
     got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in ld.line_dedup(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()}
     assert got[0] == (docs[0][1], 0)
     assert all(got[k] == (f"\nown line {k} here\n \t", 3) for k in range(1, ld.MIN_SITES))
+
+
+def test_ten_sites_that_share_registers_are_counted_exactly(spark):
+    site = spark.range(3_000).select(F.concat(F.lit("s"), "id").alias("s"))
+    register, _ = ld.registers(F.xxhash64("s"))
+    by_register = {}
+    for r in site.select("s", register.alias("r")).collect():
+        by_register.setdefault(r["r"], []).append(r["s"])
+    crowded = sorted(by_register.values(), key=len)[-3:]
+    seven = [s for v in crowded for s in v][:6] + [v[0] for v in sorted(by_register.values(), key=len)[:4]]
+    assert len(set(seven)) == 10
+    docs = [(k, "one line here\nonly nine", s) for k, s in enumerate(seven[:9])] + [(9, "one line here", seven[9])]
+    got = ld.line_dedup(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == [(0, "one line here\nonly nine"), *((k, "only nine") for k in range(1, 9)), (9, "")]
+    assert ld.least_filled(10) <= 4 and ld.least_filled(1) == 1
+
+
+def test_thresholds_beyond_the_registers(spark):
+    docs = spark.range(700).selectExpr("id AS doc_id", "concat('common', if(id < 600, '\nrarer', '')) AS text", "concat('s', id) AS source")
+    got = ld.line_dedup(docs, min_sites=650).groupBy("text").count().collect()
+    assert {(r["text"], r["count"]) for r in got} == {("common\nrarer", 1), ("rarer", 599), ("", 100)}
