@@ -16,6 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Words of the word-based operators: runs of anything but ASCII white space.
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
+#: Word hashes kept per worker.
+CACHE_WORDS = 150_000
+_U = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -83,3 +86,22 @@ def small(batches: Iterator[pa.RecordBatch], at: int, most: int = 4 << 20) -> It
         for low, high in zip(cuts, cuts[1:]):
             if low < high:
                 yield batch.slice(low, high - low)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit integers that spreads every bit."""
+    x = (x ^ (x >> _U(33))) * _U(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> _U(33))) * _U(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> _U(33))
+
+
+class WordHashes(dict):
+    """64-bit hashes of words, made when first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh3_64_intdigest
+
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        h = self[word] = xxh3_64_intdigest(word)
+        return h

@@ -43,7 +43,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialise, ship, small
+from .common import WordHashes, materialise, mix, ship, small
 from .components import components
 
 SHINGLE_WORDS, PERCENT = 5, 80
@@ -53,31 +53,12 @@ STAR_ROUNDS = 2
 BITS, FAR = 256, 56
 #: Shingles of a bucket that a task has in memory, about.
 GROUP_WEIGHT = 1 << 20
-#: Elements sketched at once, and word hashes kept per worker.
-CHUNK, CACHE_WORDS = 1 << 19, 150_000
+#: Elements sketched at once.
+CHUNK = 1 << 19
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _U = np.uint64
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit integers that spreads every bit."""
-    x = (x ^ (x >> _U(33))) * _U(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> _U(33))) * _U(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> _U(33))
-
-
-class WordHashes(dict):
-    """64-bit hashes of words, made when first asked for."""
-
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh3_64_intdigest
-
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        h = self[word] = xxh3_64_intdigest(word)
-        return h
-
-
 def shingles(text: str | None, k: int, hashes: WordHashes) -> np.ndarray:
     """Sorted distinct shingle hashes of a text (words: anything but ASCII white space)."""
     words = text.encode("utf-8").translate(_LOWER).split() if text else []

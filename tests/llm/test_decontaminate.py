@@ -39,23 +39,24 @@ def cases():
     return docs, items
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 60])
-def test_equals_brute_force(spark, monkeypatch, block_bytes):
-    monkeypatch.setattr(dc, "BLOCK_BYTES", block_bytes)
+@pytest.mark.parametrize("shingle", [3, 1, 7])
+@pytest.mark.parametrize("broadcast_bytes", [1 << 20, -1])
+def test_equals_brute_force(spark, broadcast_bytes, shingle):
     docs, items = cases()
     frame = spark.createDataFrame([(k, t, "clash") for k, t in enumerate(docs)], "doc_id long, text string, N_HIT string")
-    for r in dc.decontaminate(frame, spark.createDataFrame(items, "item_id long, text string")).collect():
+    for r in dc.decontaminate(frame, spark.createDataFrame(items, "item_id long, text string"), shingle=shingle, broadcast_bytes=broadcast_bytes).collect():
         n, hit, found = by_hand(docs[r["doc_id"]], items)
         assert (r["n_words"], r["n_hit"], sorted(r["items"])) == (n, hit, found), docs[r["doc_id"]]
         assert sum(s["end"] - s["begin"] for s in r["hits"]) == hit
 
 
-def test_empty_tables_and_null_ids(spark):
+@pytest.mark.parametrize("broadcast_bytes", [1 << 20, -1])
+def test_empty_tables_and_null_ids(spark, broadcast_bytes):
     docs = spark.createDataFrame([(None, "a b"), (1, "a b"), (1, "a b")], "doc_id long, text string")
     items = spark.createDataFrame([(None, "a b")], "item_id long, text string")
-    assert [(r["n_hit"], r["items"]) for r in dc.decontaminate(docs, items).collect()] == [(2, [""])] * 3
-    assert [r["n_hit"] for r in dc.decontaminate(docs, items.limit(0)).collect()] == [0, 0, 0]
-    assert dc.decontaminate(docs.limit(0), items).collect() == []
+    assert [(r["n_hit"], r["items"]) for r in dc.decontaminate(docs, items, broadcast_bytes=broadcast_bytes).collect()] == [(2, [""])] * 3
+    assert [r["n_hit"] for r in dc.decontaminate(docs, items.limit(0), broadcast_bytes=broadcast_bytes).collect()] == [0, 0, 0]
+    assert dc.decontaminate(docs.limit(0), items, broadcast_bytes=broadcast_bytes).collect() == []
 
 
 def test_query_on_the_whole_table(spark, sf):
@@ -69,3 +70,14 @@ def test_query_on_the_whole_table(spark, sf):
         n, hit, found = by_hand(text, items) if near else (len(w), 0, [])
         assert (r["n_words"], r["n_hit"], r["n_items"]) == (n, hit, len(found))
         assert r["items_sha256"] == hashlib.sha256(",".join(found).encode()).hexdigest() and r["contaminated"] == (len(found) >= 2)
+
+
+def test_a_large_benchmark_is_joined(spark):
+    """A long item with more than a million different words; documents that quote it, one of them long."""
+    many = [f"w{k:x}" for k in range(1_050_000)]
+    quote = " ".join(many[700_000:700_012])
+    items = spark.createDataFrame([(1, " ".join(many)), (2, quote), (2, quote)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, quote), (2, f"x {quote[:-1]} y"), (3, "other words " * 300_000 + quote), (4, " ".join(many[700_000:700_007]))], "doc_id long, text string")
+    assert items.selectExpr("sum(length(text))").first()[0] > dc.BROADCAST_BYTES
+    got = {r["doc_id"]: (r["n_hit"], r["items"]) for r in dc.decontaminate(docs, items).collect()}
+    assert got == {1: (12, ["1", "2"]), 2: (11, ["1", "2"]), 3: (12, ["1", "2"]), 4: (0, [])}
