@@ -4,14 +4,16 @@ A byte of a document is removed if a string of ``LENGTH`` bytes that covers it
 also starts in a document with a smaller id.  A corpus has no suffix array of its
 own, so its windows of ``LENGTH`` bytes are dealt to many small ones:
 
-0. A document whose whole text a smaller one has is a repeat from end to end; such
-   copies are found by 128-bit hashes and left out of what follows.
+0. Rows that repeat with id and text are looked at once and given out as often as
+   they stand.  A document whose whole text a smaller one has is a repeat from end
+   to end; such copies are found by 128-bit hashes and left out of what follows.
 1. Each window is keyed by the smallest hash among the strings of ``SEED`` bytes
    in it.  Equal windows have equal keys, and neighbours mostly share a key, so
    a document is cut into runs of windows with one key.
 2. Keys that only one document has are dropped: documents are grouped in blocks,
    a block sends each of its keys once to the key's bucket, and the bucket sends
-   back those that two documents have.
+   back those that two documents have.  The number of buckets follows the number
+   of keys, ``BUCKET_KEYS`` each, so a block's keys for a bucket stay packed.
 3. The text of the other runs is dealt to parts by key.  A part concatenates it,
    sorts its suffixes, and from previous and next smaller documents in suffix
    order gets for each window the longest earlier match.  Windows whose match
@@ -20,11 +22,15 @@ own, so its windows of ``LENGTH`` bytes are dealt to many small ones:
 What a block has several times is sent once, in the name of its smallest
 document, so a passage that a third of all documents share costs a row a block,
 not one a document.  A part gets runs of one key only as far as their texts
-differ; if those are many, they are dealt out again by window.
+differ; if those are many, they are dealt out again by window.  Strings are grouped
+by a 64-bit hash, but those of equal hash are compared byte by byte before one
+stands for the others.
 
 Defined results: a null text counts as empty; documents that share an id are one
 document for "a smaller id"; a null id is larger than any id; an empty table
-gives no rows; other columns are ignored; long texts are handled whole.
+gives no rows; other columns are ignored; long texts are handled whole, in a block
+of their own if need be: what a byte of text costs is its place in a few arrays
+of single bytes and integers, everything wider is made for ``CHUNK`` bytes at a time.
 """
 
 from __future__ import annotations
@@ -44,6 +50,8 @@ LENGTH, SEED = 50, 22
 LEAST, MOST, GROWS_FROM = 1 << 20, 4 << 20, 50 << 20
 #: Bytes hashed at once.
 CHUNK = 1 << 20
+#: Keys in a bucket, about; a text has one for each ``KEY_STEP`` bytes.
+BUCKET_KEYS, KEY_STEP = 1 << 20, 15
 #: A key with more runs than this, about, is dealt out by window.
 HOT_RUNS = 8192
 #: Runs of a key in a block, as two bits can say: up to so many each.
@@ -198,15 +206,51 @@ def pairs_of(blobs: list[bytes]) -> np.ndarray:
 
 def hashes(raw: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
     """64-bit hashes of parts of ``raw``, equal for equal strings wherever they stand."""
-    powers = np.cumprod(np.concatenate([np.ones(1, _U), np.full(raw.size, _STEP, _U)]))
-    sums = np.concatenate([np.zeros(1, _U), np.cumsum(_BYTE[raw] * powers[:-1])])
-    del powers
-    back = np.cumprod(np.concatenate([np.ones(1, _U), np.full(raw.size, pow(_STEP, -1, 1 << 64), _U)]))
-    out = (sums[first + length] - sums[first]) * back[first]
+    back_step = pow(_STEP, -1, 1 << 64)
+    ends = first + length
+    at_first, at_end = np.argsort(first, kind="stable"), np.argsort(ends, kind="stable")
+    sums_first, sums_end, back = (np.zeros(first.size, _U) for _ in range(3))
+    done_first = done_end = 0
+    total, power, inverse = _U(0), 1, 1
+    for low in range(0, raw.size + 1, CHUNK):  # sums before each place from low on
+        piece = raw[low : low + CHUNK]
+        powers = np.cumprod(np.concatenate([np.array([power], _U), np.full(piece.size, _STEP, _U)]))
+        sums = total + np.concatenate([np.zeros(1, _U), np.cumsum(_BYTE[piece] * powers[:-1])])
+        many = int(np.searchsorted(first, low + CHUNK, sorter=at_first))
+        here = at_first[done_first:many]
+        inverses = np.cumprod(np.concatenate([np.array([inverse], _U), np.full(piece.size, back_step, _U)]))
+        sums_first[here], back[here] = sums[first[here] - low], inverses[first[here] - low]
+        done_first = many
+        many = int(np.searchsorted(ends, low + CHUNK, sorter=at_end))
+        here = at_end[done_end:many]
+        sums_end[here] = sums[ends[here] - low]
+        done_end = many
+        total, power, inverse = sums[-1], int(powers[-1]), int(inverses[-1])
+    out = (sums_end - sums_first) * back
     out ^= out >> _U(32)
     return out * _U(0xC4CEB9FE1A85EC53) + length.astype(_U)
 
 
+def differs(raw: np.ndarray, name: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """For parts of ``raw`` in order of their hashes: whether each isn't, byte by byte, the one before it.
+
+    Parts of equal hash that do differ begin groups of their own; whatever of
+    them is equal after all meets in the suffix order.
+    """
+    new = np.ones(name.size, bool)
+    new[1:] = (name[1:] != name[:-1]) | (length[1:] != length[:-1])
+    same = np.flatnonzero(~new)
+    ends = np.cumsum(length[same])
+    low = 0
+    while low < same.size:  # as many as have CHUNK bytes together, one at least
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + CHUNK, side="right")))
+        k = same[low:high]
+        apart = raw[ragged(first[k], length[k])] != raw[ragged(first[k - 1], length[k])]
+        new[k] = np.logical_or.reduceat(apart, np.cumsum(length[k]) - length[k])
+        low = high
+    return new
+
+
 NO_COPIES = pa.table({"id": pa.array([], pa.int64()), "hash": pa.array([], pa.int64())})
 ORDER = [("id", "ascending"), ("text", "ascending")]
 
@@ -219,6 +263,7 @@ class Block:
         table = table.select(["id", "text"]).sort_by(ORDER)
         self.ids = table.column("id").to_numpy()
         texts = [x.as_buffer() for x in table.column("text").cast(pa.large_binary())]
+        del table
         self.begins = np.append(0, np.cumsum([len(x) for x in texts])).astype(np.int64)
         self.raw = np.frombuffer(b"".join(texts), np.uint8)
         self.copy = np.zeros(len(texts), bool)
@@ -282,8 +327,7 @@ class Block:
         route[n_cold:] = name[n_cold:]
         order = np.lexsort((doc, name))
         doc, first, length, route, name = doc[order], first[order], length[order], route[order], name[order]
-        new = np.ones(name.size, bool)
-        new[1:] = name[1:] != name[:-1]
+        new = differs(self.raw, name, first, length)
         group = np.cumsum(new) - 1
         least = self.ids[doc[new]]
         own = self.ids[doc] == least[group] if name.size else new
@@ -338,8 +382,7 @@ def suffix_part(table: pa.Table) -> pa.Table:
     begin = np.cumsum(length) - length
     name = hashes(text, begin, length)
     order = np.lexsort((id_, name))
-    new = np.ones(name.size, bool)
-    new[1:] = name[order][1:] != name[order][:-1]
+    new = differs(text, name[order], begin[order], length[order])
     group = np.empty(name.size, np.int64)
     group[order] = np.cumsum(new) - 1
     chosen = order[new]
@@ -368,14 +411,32 @@ def suffix_part(table: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array([b for b, _ in rows], pa.int64()), "spans": pa.array([x for _, x in rows], pa.binary())})
 
 
+def single(rows: DataFrame) -> DataFrame:
+    """``rows`` (id, no_id, text, n) with rows that repeat with id and text as one, ``n`` their number.
+
+    Only ids and hashes are shuffled to find them, and their texts are reduced
+    before they are shuffled, so a row that a third of the table repeats stays small.
+    """
+    names = ["id", "no_id", "hash", "hash2"]
+    keyed = rows.withColumn("hash", F.xxhash64("text")).withColumn("hash2", F.xxhash64(F.lit(1), "text"))
+    again = materialise(keyed.groupBy(*names).agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "repeated-rows")
+    if again.isEmpty():
+        return rows
+    alone = keyed.join(again, names, "left_anti").select("id", "no_id", "text", "n")
+    one = keyed.join(again, names).groupBy(*names).agg(F.first("text").alias("text"), F.first("times").alias("n"))
+    return materialise(alone.unionByName(one.select("id", "no_id", "text", "n")), "different-rows")
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per row of ``docs``: ``id``, ``n_bytes``, ``n_removed``, ``n_spans``
     (maximal removed runs) and ``kept`` (the bytes that are left)."""
     ship(docs.sparkSession)
     id_, text = F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    rows = docs.select(F.coalesce(id_, F.lit(NO_ID)).alias("id"), id_.isNull().alias("no_id"), text.alias("text"))
+    rows = docs.select(F.coalesce(id_, F.lit(NO_ID)).alias("id"), id_.isNull().alias("no_id"), text.alias("text"), F.lit(1).cast("long").alias("n"))
+    rows = single(rows)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, int(total // min(MOST, max(LEAST, LEAST * (total / GROWS_FROM) ** 0.5))) + 1)
+    n_buckets = int(total // (KEY_STEP * BUCKET_KEYS)) + 1
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)))
     # Whole copies of smaller documents.
     hashed = rows.where(F.octet_length("text") >= LENGTH).select("id", "block", F.xxhash64("text").alias("hash"), F.xxhash64(F.lit(1), "text").alias("hash2"))
@@ -383,7 +444,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copies = materialise(hashed.join(firsts, ["hash", "hash2"]).where("id > least").select("block", "id", "hash"), "copies")
 
     def keys_of(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        buckets, names = Block(left, right).keys(n_blocks)
+        buckets, names = Block(left, right).keys(n_buckets)
         out = [(b, names[at].tobytes()) for b, at in grouped(buckets)]
         return pa.table({"bucket": pa.array([b for b, _ in out], pa.int64()), "block": pa.array([key[0].as_py()] * len(out), pa.int64()), "names": pa.array([x for _, x in out], pa.binary())})
 
@@ -408,7 +469,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         out = []
         if left.num_rows:
             shared = np.sort(np.repeat(right.column("bucket").to_numpy().astype(_U) << _U(32), [x.size for x in replies]) | np.concatenate([np.zeros(0, "<u4"), *replies]))
-            local, found = block.segments(shared, n_blocks)
+            local, found = block.segments(shared, n_buckets)
             begin = np.cumsum(found["n"]) - found["n"]
             for part, at in grouped(deal(found["route"], n_blocks)):
                 raw = block.raw[ragged(found["first"][at], found["length"][at])]
@@ -426,17 +487,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         spans = pairs_of(right.column("spans").to_pylist())
         np.add.at(edge, spans[:, 0], 1)
         np.add.at(edge, spans[:, 1], -1)
-        gone = np.cumsum(edge[:-1]) > 0
+        gone = np.cumsum(edge[:-1], out=edge[:-1]) > 0
+        del edge
         begin, end = block.begins[:-1], block.begins[1:]
         starts = gone.copy()
         starts[1:] &= ~gone[:-1]
-        starts[begin[begin < end]] = gone[begin[begin < end]]  # a run ends with its document
-        removed, turns = np.append(0, np.cumsum(gone)), np.append(0, np.cumsum(starts))
-        n_removed = removed[end] - removed[begin]
+        full = begin < end
+        starts[begin[full]] = gone[begin[full]]  # a run ends with its document
+        n_removed, n_spans = np.zeros(begin.size, np.int64), np.zeros(begin.size, np.int64)
+        if full.any():
+            n_removed[full] = np.add.reduceat(gone, begin[full], dtype=np.int64)
+            n_spans[full] = np.add.reduceat(starts, begin[full], dtype=np.int64)
         offsets = np.append(0, np.cumsum(end - begin - n_removed)).astype(np.int32)
         kept = pa.Array.from_buffers(pa.binary(), len(block.ids), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(block.raw[~gone].tobytes())])
         ids = pa.array(block.ids, mask=left.column("no_id").to_numpy())
-        return pa.table({"id": ids, "n_bytes": pa.array(end - begin), "n_removed": pa.array(n_removed.astype(np.int64)), "n_spans": pa.array((turns[end] - turns[begin]).astype(np.int64)), "kept": kept})
+        return pa.table({"id": ids, "n_bytes": pa.array(end - begin), "n_removed": pa.array(n_removed), "n_spans": pa.array(n_spans), "kept": kept, "n": left.column("n")})
 
     # One plan, so that its three passes over the blocks read one shuffle of the texts.
     blocks = lambda: rows.groupBy("block")
@@ -445,4 +510,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     told = replies.unionByName(copies, allowMissingColumns=True)
     sent = blocks().cogroup(told.groupBy("block")).applyInArrow(segments_of, "block long, part long, spans binary, raw binary, length binary, id binary, n binary, places binary")
     spans = sent.groupBy("part").applyInArrow(suffix_part, "block long, spans binary")
-    return blocks().cogroup(spans.groupBy("block")).applyInArrow(cut, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    done = blocks().cogroup(spans.groupBy("block")).applyInArrow(cut, "id long, n_bytes long, n_removed long, n_spans long, kept binary, n long")
+    return done.select("id", "n_bytes", "n_removed", "n_spans", "kept", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).drop("col")

@@ -79,3 +79,30 @@ def test_previous_factors_equal_brute_force():
 def test_query_equals_brute_force(spark, sf):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert sorted(map(tuple, queries.op8_suffix_array_dedup(spark, sf).collect()), key=str) == by_hand(docs)
+
+
+def test_a_row_that_repeats_very_often_is_one_row(spark):
+    text = "a passage that is a good deal longer than fifty bytes, and then some more"
+    many = spark.range(30_000).selectExpr("7L AS doc_id", f"'{text}' AS text")
+    rows = many.unionByName(spark.createDataFrame([(1, text), (7, "x"), (None, text), (None, text)], "doc_id long, text string"))
+    got = rp.remove_repeats(rows).groupBy("id", "n_bytes", "n_removed", "n_spans").count().collect()
+    n = len(text)
+    assert sorted(map(tuple, got), key=str) == sorted([(7, n, n, 1, 30_000), (1, n, 0, 0, 1), (7, 1, 0, 0, 1), (None, n, n, 1, 2)], key=str)
+    assert rp.single(rows.selectExpr("coalesce(doc_id, 99) AS id", "doc_id IS NULL AS no_id", "text", "1L AS n")).count() == 4
+
+
+def test_hashes_by_chunks_and_bytes_where_hashes_meet(monkeypatch):
+    rng = np.random.default_rng(8)
+    raw = rng.integers(0, 3, 5_000).astype(np.uint8)
+    first = rng.integers(0, 4_000, 700)
+    length = rng.integers(1, 1_000, 700)
+    whole = rp.hashes(raw, first, length)
+    monkeypatch.setattr(rp, "CHUNK", 333)
+    assert (rp.hashes(raw, first, length) == whole).all()
+    again = np.concatenate([raw, raw])
+    assert (rp.hashes(again, first + raw.size, length) == whole).all()
+    # One name for all: bytes decide.
+    length = np.full(700, 4)
+    got = rp.differs(raw, np.zeros(700, np.uint64), first, length)
+    want = [True] + [raw[a : a + 4].tobytes() != raw[b : b + 4].tobytes() for a, b in zip(first[1:], first[:-1])]
+    assert got.tolist() == want and 0 < sum(want) < 700
