@@ -25,7 +25,11 @@ against another; links merge components.  What remains is every pair of a bucket
 whose ends are still in different components.  A task tests those of a bucket in
 place, so no candidate is left out, and sends back only links that join two
 components.  Buckets with more than ``GROUP_WEIGHT`` elements are dealt to tasks
-as pairs of blocks.
+as pairs of blocks: a block with itself in one task, with each other block in one
+more, so every pair of members meets in exactly one task.
+
+Bands and ``FAR`` are made for similarities of ``LEAST_PERCENT`` and more; a smaller
+``percent`` is an error.
 
 Defined results: a document without words, or with a null text, has the empty
 set, is linked with nothing and is its own component; a document with fewer
@@ -51,6 +55,7 @@ BANDS, ROWS = 48, 6
 SKETCH = BANDS * ROWS
 STAR_ROUNDS = 2
 BITS, FAR = 256, 56
+LEAST_PERCENT = 80
 #: Shingles of a bucket that a task has in memory, about.
 GROUP_WEIGHT = 1 << 20
 #: Elements sketched at once.
@@ -174,47 +179,71 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def in_blocks(rows: DataFrame) -> DataFrame:
-    """``rows`` (key, id, n, …) with ``part``: large buckets as all pairs of their blocks."""
+    """``rows`` (key, id, n, …) with ``part``, ``own`` and ``crossed``: large buckets as all pairs of their blocks.
+
+    A row is in the part of its own block, where members of the block meet each
+    other, and in a crossed part for each other block, where the two blocks meet.
+    """
     rows = materialise(rows, "left")
     weight = materialise(rows.groupBy("key").agg((F.sum(F.col("n") + 16) / (GROUP_WEIGHT // 2)).cast("int").alias("more")), "weights")
     own = F.pmod(F.xxhash64("id"), F.col("more") + 1).cast("int")
     parts = F.transform(F.sequence(F.lit(0), F.col("more")), lambda j: F.least(own, j) * (F.col("more") + 1) + F.greatest(own, j))
-    return rows.join(weight, "key").withColumn("part", F.explode(F.when(F.col("more") == 0, F.array(F.lit(0))).otherwise(parts))).drop("more")
+    dealt = rows.join(weight, "key").withColumn("own", own).withColumn("part", F.explode(F.when(F.col("more") == 0, F.array(F.lit(0))).otherwise(parts)))
+    return dealt.withColumn("crossed", F.col("part") != F.col("own") * (F.col("more") + 2)).drop("more")
+
+
+def sides(table: pa.Table) -> tuple[pa.Table, int]:
+    """The rows of a part and how many of them are to meet the rest: those of the smaller block,
+    which come first.  In a block's own part (0) each row meets those after it."""
+    if not table.num_rows or not table.column("crossed")[0].as_py():
+        return table, 0
+    own = table.column("own").to_numpy()
+    names, n = np.unique(own, return_counts=True)
+    if names.size < 2:
+        return table.slice(0, 0), 0
+    small_one = own == names[np.argmin(n)]
+    return table.take(pa.array(np.argsort(~small_one, kind="stable"))), int(small_one.sum())
 
 
 def near(table: pa.Table) -> pa.Table:
     """The members of a bucket that another component has a likely partner for."""
+    table, first = sides(table)
     label, n = table.column("label").to_numpy(), table.column("n").to_numpy()
     marks = np.stack([table.column(f"b{k}").to_numpy().view(_U) for k in range(BITS // 64)], axis=1)
     found = np.zeros(n.size, bool)
+    high = first or n.size
+    rest = slice(first, n.size)
     step = max(1, (1 << 19) // max(n.size, 1))
-    for low in range(0, n.size, step):
-        rows = slice(low, low + step)
-        apart = np.bitwise_count(marks[rows, None, :] ^ marks[None, :, :]).sum(axis=2, dtype=np.int64)
-        fits = (apart <= FAR) & (label[rows, None] != label[None, :])
+    for low in range(0, high, step):
+        rows = slice(low, min(low + step, high))
+        apart = np.bitwise_count(marks[rows, None, :] ^ marks[None, rest, :]).sum(axis=2, dtype=np.int64)
+        fits = (apart <= FAR) & (label[rows, None] != label[None, rest])
         found[rows] |= fits.any(axis=1)
-    return table.select(["key", "part", "id", "n", "label"]).filter(pa.array(found))
+        found[rest] |= fits.any(axis=0)
+    return table.select(["key", "part", "own", "crossed", "id", "n", "label"]).filter(pa.array(found))
 
 
 def linker(percent: int):
     def link(table: pa.Table) -> pa.Table:
         """Links between the components in a bucket, as few as join them."""
+        table, first = sides(table)
         label, ids = table.column("label").to_numpy(), table.column("id").to_numpy()
         sets = [np.frombuffer(x.as_buffer(), _U) for x in table.column("set")]
-        n = np.array([x.size for x in sets])
+        n = np.array([x.size for x in sets], np.int64)
         begin = np.append(0, np.cumsum(n))
-        names, element = np.unique(np.concatenate(sets), return_inverse=True)
+        names, element = np.unique(np.concatenate([np.zeros(0, _U), *sets]), return_inverse=True)
         tree = np.unique(label, return_inverse=True)[1]  # component numbers, renamed as they merge
         a, b = [], []
         mark = np.zeros(names.size, bool)
-        for k in range(n.size - 1):
-            if (tree[k + 1 :] == tree[k]).all():
+        for k in range(first or n.size - 1):
+            rest = first or k + 1
+            if (tree[rest:] == tree[k]).all():
                 continue
             mark[element[begin[k] : begin[k + 1]]] = True
-            common = np.add.reduceat(mark[element[begin[k + 1] :]], begin[k + 1 : -1] - begin[k + 1], dtype=np.int64)
+            common = np.add.reduceat(mark[element[begin[rest] :]], begin[rest:-1] - begin[rest], dtype=np.int64)
             mark[element[begin[k] : begin[k + 1]]] = False
-            for j in np.flatnonzero(100 * common >= percent * (n[k] + n[k + 1 :] - common)).tolist():
-                other = k + 1 + j
+            for j in np.flatnonzero(100 * common >= percent * (n[k] + n[rest:] - common)).tolist():
+                other = rest + j
                 if tree[other] != tree[k]:
                     tree[tree == tree[other]] = tree[k]
                     a.append(min(ids[k], ids[other]))
@@ -232,6 +261,8 @@ def labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 def near_dedup(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: ``id``, ``n_shingles``, ``component_id``, ``kept``."""
+    if percent < LEAST_PERCENT:
+        raise ValueError(f"bands and bits are made for {LEAST_PERCENT} percent and more")
     ship(docs.sparkSession)
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     rows = materialise(sketched(texts, shingle_words), "sketches")
@@ -274,8 +305,8 @@ def near_dedup(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int
             labels = components(links)
     now = labelled(members, labels)
     open_ = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    left = in_blocks(now.join(materialise(open_, "open"), "key", "left_semi")).groupBy("key", "part").applyInArrow(near, "key long, part int, id long, n long, label long")
-    tested = left.join(sets, "id").select("key", "part", "id", "label", "set").groupBy("key", "part").applyInArrow(linker(percent), "a long, b long")
+    left = in_blocks(now.join(materialise(open_, "open"), "key", "left_semi")).groupBy("key", "part").applyInArrow(near, "key long, part int, own int, crossed boolean, id long, n long, label long")
+    tested = left.join(sets, "id").select("key", "part", "own", "crossed", "id", "label", "set").groupBy("key", "part").applyInArrow(linker(percent), "a long, b long")
     new = materialise(tested.distinct(), "links")
     if not new.isEmpty():
         labels = components(links.unionByName(new))

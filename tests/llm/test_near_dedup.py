@@ -1,6 +1,8 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from marlstone.llm import near_dedup as nd, queries
 from marlstone.llm.components import components
@@ -97,3 +99,27 @@ def test_large_buckets_are_tested_in_blocks(spark, monkeypatch):
     want = by_hand(docs, 2, 80)
     assert len({r[2] for r in want}) > 1
     assert run(spark, docs, shingle_words=2) == want
+
+
+def test_every_pair_of_a_large_bucket_meets_once(spark, monkeypatch):
+    monkeypatch.setattr(nd, "GROUP_WEIGHT", 2_000)
+    members = spark.range(400).selectExpr("1L AS key", "id", "10L AS n").unionByName(spark.createDataFrame([(2, 1000, 5), (2, 1001, 5)], "key long, id long, n long"))
+    met, rows = {}, 0
+    parts = {}
+    for r in nd.in_blocks(members).collect():
+        parts.setdefault((r["key"], r["part"]), []).append(r.asDict())
+        rows += 1
+    for part in parts.values():
+        table, first = nd.sides(pa.Table.from_pylist(part))
+        ids = table.column("id").to_pylist()
+        for k in range(first or max(len(ids) - 1, 0)):
+            for other in ids[first or k + 1 :]:
+                pair = (min(ids[k], other), max(ids[k], other))
+                met[pair] = met.get(pair, 0) + 1
+    assert set(met.values()) == {1} and len(met) == 400 * 399 // 2 + 1
+    assert rows < 400 * 12 + 3
+
+
+def test_similarities_that_bands_are_not_made_for_are_refused(spark):
+    with pytest.raises(ValueError):
+        nd.near_dedup(spark.createDataFrame([], "doc_id long, text string"), percent=50)
