@@ -22,6 +22,7 @@ languages; other columns are carried through, except ``lang_pred`` and ``score``
 from __future__ import annotations
 
 import math
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -30,7 +31,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from .common import ship, small
+from .common import materialise, ship, small
 
 UNKNOWN = "und"
 #: Orders of the n-grams, the first tried first.
@@ -38,6 +39,8 @@ ORDERS = (4, 3, 2, 1)
 #: N-grams that training met less often are left out.
 MIN_GRAMS = 2
 WORDS = regex.compile(r"\p{L}+")
+#: The same for lower-case ASCII, where it is faster.
+ASCII_WORDS = re.compile("[a-z]+")
 #: The posterior counts at most so many words, so that scores stay graded.
 EVIDENCE_WORDS = 12
 #: Scores of words met that a worker keeps, and words of a text scored at once.
@@ -45,7 +48,8 @@ CACHE_BYTES, CHUNK_WORDS = 16 << 20, 1 << 16
 
 
 def words_of(text: str) -> list[str]:
-    return WORDS.findall(text.lower())
+    text = text.lower()
+    return (ASCII_WORDS if text.isascii() else WORDS).findall(text)
 
 
 class Table:
@@ -60,18 +64,20 @@ class Table:
         for of in counts.values():
             for lang, c in of.items():
                 totals[lang] += c
-        self.floor = np.log(0.5 / totals) if counts else np.zeros(n_langs)
-        self.gains = {x: (tuple(of), tuple(math.log(2 * c + 1) for c in of.values())) for x, of in counts.items()}
-
-    def add(self, x: str, to: np.ndarray) -> bool:
-        """Add an entry's log frequencies, if it is known."""
-        found = self.gains.get(x)
-        if found is None:
-            return False
-        to += self.floor
-        for lang, gain in zip(*found, strict=True):
-            to[lang] += gain
-        return True
+        self.floor = np.log(0.5 / totals).tolist() if counts else [0.0] * n_langs
+        self.gains = {x: tuple((lang, math.log(2 * c + 1)) for lang, c in of.items()) for x, of in counts.items()}
+
+    def mean(self, entries: list[str], least: float) -> list[float] | None:
+        """Mean log frequencies of the entries that are known, if at least so many are."""
+        found = [x for x in map(self.gains.get, entries) if x is not None]
+        n = len(found)
+        if not n or n < least:
+            return None
+        out = [0.0] * len(self.floor)
+        for gains in found:
+            for lang, gain in gains:
+                out[lang] += gain
+        return [a + b / n for a, b in zip(self.floor, out)]
 
 
 class Model:
@@ -93,17 +99,14 @@ class Model:
         self.words = Table(words, n)
         self.orders = [(order, Table({g: of for g, of in grams[order].items() if sum(of.values()) >= MIN_GRAMS}, n)) for order in ORDERS]
 
-    def word_scores(self, word: str) -> np.ndarray:
-        out = np.zeros(len(self.langs))
-        if self.words.add(word, out):
-            return out
+    def word_scores(self, word: str) -> list[float]:
+        scores = self.words.mean([word], 1)
         for order, table in self.orders:
-            got = ngrams(word, order)
-            n = sum(table.add(g, out) for g in got)
-            if n and 2 * n >= len(got):
-                return out / n
-            out[:] = 0
-        return out
+            if scores is not None:
+                return scores
+            grams = ngrams(word, order)
+            scores = table.mean(grams, len(grams) / 2)
+        return scores or [0.0] * len(self.langs)
 
 
 def ngrams(word: str, order: int) -> list[str]:
@@ -137,9 +140,7 @@ class Scorer:
             for w in dict.fromkeys(w for k, w in zip(found, words, strict=True) if k is None):
                 self._row(w)
             found = list(map(self.rows.get, words))
-        n = np.bincount(found)
-        met = np.flatnonzero(n)
-        return n[met] @ self.table[met]
+        return self.table[found].sum(axis=0)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = words_of(text) if text else []
@@ -161,7 +162,8 @@ def train(labelled: DataFrame, docs_per_lang: int = 400, text_col: str = "text",
     draw = F.pmod(F.xxhash64("text"), F.lit(1_000_000_007)) / 1_000_000_007
     texts = labelled.select("lang", draw.alias("draw")).distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("texts"))
     # A first cut by hash thins large languages in the scan, so that no sort gets a hot one.
-    cuts = texts.select("lang", (F.lit(docs_per_lang + 6 * math.sqrt(docs_per_lang) + 10) / F.col("texts")).alias("cut"))
+    # It is written, so that Spark sees how small it is before it plans the join.
+    cuts = materialise(texts.select("lang", (F.lit(docs_per_lang + 6 * math.sqrt(docs_per_lang) + 10) / F.col("texts")).alias("cut")), "language-cuts")
     thinned = labelled.withColumn("draw", draw).join(cuts, "lang").where(F.col("draw") <= F.col("cut"))
     order = Window.partitionBy("lang").orderBy("draw")
     # One copy of a text stands for all.
