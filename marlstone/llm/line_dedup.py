@@ -92,10 +92,11 @@ def line_dedup(docs: DataFrame, site_col: str = "source", id_col: str = "doc_id"
     long_enough = F.filter(trimmed, lambda x: (x != "") & (F.size(F.split(x, WHITE_SPACE)) >= min_words))
     hashes = F.array_distinct(F.transform(long_enough, lambda x: F.xxhash64(x)))
     site = F.coalesce(F.col(f"`{site_col}`").cast("string"), F.lit("\0"))
-    lines = materialise(docs.select(F.explode(hashes).alias("line"), F.xxhash64(site).alias("site"), F.col(f"`{id_col}`").alias("id")), "lines")
+    # Rows are named by id and text, so that no id, null least of all, gathers the lines of many texts.
+    lines = materialise(docs.select(F.explode(hashes).alias("line"), F.xxhash64(site).alias("site"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("text")), "lines")
     found = boilerplate(lines, min_sites)
     later = lines.join(found, "line").where(~F.col("id").eqNullSafe(F.col("first_id")))
-    removed = later.groupBy(F.col("id").alias("__id")).agg(F.collect_set("line").alias("__removed"))
+    removed = later.groupBy(F.col("id").alias("__id"), F.col("text").alias("__text")).agg(F.collect_set("line").alias("__removed"))
     rest = [f for f in docs.schema.fields if f.name.lower() not in ("n_lines", "n_removed")]
     names = [f.name for f in rest]
     at = names.index(text_col)
@@ -119,5 +120,5 @@ def line_dedup(docs: DataFrame, site_col: str = "source", id_col: str = "doc_id"
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(cut, pa.int64())], names=out.names)
 
-    joined = docs.select(*(F.col(f"`{c}`") for c in names)).join(removed, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")), "left")
+    joined = docs.select(*(F.col(f"`{c}`") for c in names)).join(removed, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__text")), "left")
     return joined.select(*(F.col(f"`{c}`") for c in names), "__removed").mapInArrow(run, out)

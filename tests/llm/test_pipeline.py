@@ -8,6 +8,7 @@ import pytest
 from test_decontaminate import words as item_words
 from test_line_dedup import by_hand as lines_by_hand
 from test_near_dedup import by_hand as copies_by_hand
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
@@ -99,3 +100,48 @@ def test_empty_table(spark, sf):
     for _, stage in cp.STAGES:
         docs = stage(spark, docs, sf)
     assert docs.collect() == []
+
+
+CLASHES = "score string, Lang_Pred int, n_lines string, n_removed string, n_words array<int>, hits string, ITEMS int, n_hit string, ids string, decoded string, label string, key string, __removed string, n string, kept string"
+
+
+def awkward(spark):
+    """Rows with nulls, empty and long texts, ties, repeats and columns whose names operators use."""
+    long = " ".join(f"the wall{k % 977} of that{k % 1009} house" for k in range(60_000))
+    plain = ["the cat sat on the mat and looked at the door for a while", "the dog ran over the field and back to the house again", "a storm came over the sea and the ships went home early"]
+    texts = [(1, plain[0]), (1, plain[0]), (2, plain[0]), (None, plain[1]), (None, plain[1]), (7, plain[1]), (None, plain[2]), (None, plain[2]), (3, None), (4, ""), (5, "12 34"), (6, long), (8, long + " end"), (9, "one"), (9, "two three")]
+    extra = ("s", 1, "a", "b", [1], "h", 2, "n", "i", "d", "l", "k", "r", "n", "y")
+    rows = [(d, t, "en", "src", 7, *extra) for d, t in texts]
+    return spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars int, {CLASHES}"), extra
+
+
+def test_stages_carry_columns_whose_names_clash(spark, sf):
+    docs, extra = awkward(spark)
+    for name, stage in cp.STAGES[:-1]:
+        done = stage(spark, docs, sf)
+        assert done.columns == docs.columns and [f.dataType for f in done.schema] == [f.dataType for f in docs.schema]
+        got = done.collect()
+        assert got and all(tuple(r[c] for c in docs.columns[5:]) == extra for r in got), name
+    assert len(cp.tokens(spark, docs, sf).collect()) == docs.count()
+
+
+def test_awkward_rows_by_stage(spark, sf):
+    docs, _ = awkward(spark)
+    found = lambda stage: sorted(((r["doc_id"], (r["text"] or "")[:7]) for r in stage(spark, docs, sf).collect()), key=str)
+    every = sorted(((r["doc_id"], (r["text"] or "")[:7]) for r in docs.collect()), key=str)
+    assert found(cp.language) == [x for x in every if x[0] not in (3, 4, 5)]
+    assert found(cp.lines) == every and found(cp.leaks) == every
+    assert found(cp.near_copies) == sorted([(1, "the cat"), (7, "the dog"), (None, "a storm"), (3, ""), (4, ""), (5, "12 34"), (6, "the wal"), (9, "one"), (9, "two thr")], key=str)
+
+
+def test_language_becomes_the_predicted_one(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    wrong = docs.withColumn("lang", F.when(F.col("doc_id") % 10 == 7, "fr").otherwise(F.col("lang")))
+    got = cp.language(spark, wrong, sf).join(docs.select("doc_id", F.col("lang").alias("right")), "doc_id")
+    assert got.where("lang = right").count() >= 0.97 * got.count()
+
+
+def test_columns_beside_id_and_text_need_not_exist(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    for stage in (cp.lines, cp.near_copies, cp.leaks):
+        assert stage(spark, docs, sf).columns == ["doc_id", "text"]
