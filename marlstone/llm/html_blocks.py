@@ -59,7 +59,7 @@ def enter(parent: Element, tag: str, attributes: str) -> Element:
     own, words = {f"in:{tag}"}, set()
     if attributes:
         for m in NAMES.finditer(attributes):
-            words.update(PARTS.findall((m[2] or m[3] or m[4] or "").lower())[:8])
+            words.update(PARTS.findall((m[2] or m[3] or m[4] or "").lower()))
         own.update(f"name:{w}" for w in words)
         if HIDDEN.search(attributes):
             own.add("hidden")

@@ -16,6 +16,7 @@ markup never fails; other columns are carried through, except those made here.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,7 +28,9 @@ from .common import ship, small
 from .html_blocks import Leaf, leaves
 from .html_training import MARK, labelled_pages
 
-STEPS, RATE, PENALTY = 250, 0.1, 0.02
+STEPS, RATE, PENALTY = 180, 0.1, 0.02
+#: Features of fewer training pages say nothing.
+MIN_PAGES = 3
 #: Words that tell about short blocks.
 HINTS = {
     "cookie": "cookie", "cookies": "cookie", "privacy": "legal", "copyright": "legal", "rights": "legal", "©": "legal", "advertisement": "ad", "sponsored": "ad", "subscribe": "ask", "newsletter": "ask", "login": "ask", "sign": "ask",
@@ -104,8 +107,7 @@ class Field:
 
 def train(pages: list[str], steps: int = STEPS, rate: float = RATE, penalty: float = PENALTY) -> Field:
     """Fit on pages whose article text begins with ``MARK``."""
-    index: dict[str, int] = {}
-    rows, columns, labels, sizes = [], [], [], []
+    labels, sizes, found, of_pages = [], [], [], Counter()
     for page in pages:
         blocks = leaves(page)
         if not blocks:
@@ -114,9 +116,14 @@ def train(pages: list[str], steps: int = STEPS, rate: float = RATE, penalty: flo
         for k, b in enumerate(blocks):
             labels.append(MARK in b.text)
             b.text = b.text.replace(MARK, "").strip() or "-"
-            for f in {*path_features(b), *text_features(b, k, len(blocks))}:
-                rows.append(len(labels) - 1)
-                columns.append(index.setdefault(f, len(index)))
+            found.append({*path_features(b), *text_features(b, k, len(blocks))})
+        of_pages.update(set().union(*found[-len(blocks) :]))
+    index = {f: k for k, f in enumerate(sorted(f for f, n in of_pages.items() if n >= MIN_PAGES))}
+    rows, columns = [], []
+    for k, features in enumerate(found):
+        known = sorted(index[f] for f in features if f in index)
+        rows += [k] * len(known)
+        columns += known
     size, y = np.array(sizes), np.array(labels, int)
     n, longest = size.size, int(size.max())
     begin = np.cumsum(size) - size
