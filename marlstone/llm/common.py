@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 import zipfile
@@ -31,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    if not conf.get("spark.master", "").startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", conf.get("spark.master", "")):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="marlstone-shared-")
     spark.conf.set("spark.checkpoint.dir", made)
@@ -76,12 +77,12 @@ def ship(spark: SparkSession) -> None:
         sc._marlstone_shipped = True
 
 
-def small(batches: Iterator[pa.RecordBatch], at: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The rows of ``batches`` in pieces with about ``most`` bytes of text (column ``at``), so
+def small(batches: Iterator[pa.RecordBatch], *texts: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in pieces with about ``most`` bytes of text (columns ``texts``), so
     that a worker's memory depends on that and its longest row, not on Spark's batches."""
     for batch in batches:
-        size = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
-        piece = np.cumsum(size.astype(np.int64) + 16) // most
+        size = sum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for at in texts)
+        piece = np.cumsum(size + 16) // most
         cuts = [0, *(np.flatnonzero(piece[1:] != piece[:-1]) + 1).tolist(), batch.num_rows]
         for low, high in zip(cuts, cuts[1:]):
             if low < high:

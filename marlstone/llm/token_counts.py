@@ -13,8 +13,11 @@ A separator or line end belongs to the section it closes, so sections tile the
 document and the counts of a document always add up to its number of tokens.
 
 Defined results: null fields are left out; a document whose fields are all null
-or empty has one empty section with no tokens; texts are never cut; other
-columns are ignored.
+or empty has one empty section with no tokens; a null id is carried through;
+repeated rows each get their sections; an empty table gives no rows; ties of the
+rule ``most`` go to the earlier section; texts are never cut, and a worker holds
+one long document at a time; other columns are ignored, and those made here are
+the only ones beside the id, so names can't clash.
 """
 
 from __future__ import annotations
@@ -86,7 +89,7 @@ def token_counts(docs: DataFrame, vocab_path: str, fields: Sequence[str] = ("tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocab_path)
-        for batch in small(batches, 1):
+        for batch in small(batches, *range(1, len(names) + 1)):
             rows, columns = [], [batch.column(k + 1).to_pylist() for k in range(len(names))]
             numbers: list[np.ndarray] = []
             labels: list[str] = []

@@ -12,9 +12,15 @@ Archives are files in a folder that all executors share.  A task gives each file
 a name of its own and the manifest of names is written by Spark, which commits
 one attempt of a task; files of lost attempts are never read.
 
+A record's id holds the page's id and bits of the payload's digest, so rows of one
+page with different payloads are different records.
+
 Defined results: a null payload counts as empty; repeated rows with the largest
-id are all responses; a null id is smaller than any id; payloads below
-``min_bytes`` are always responses; an empty table gives no archives.
+id are all responses, and rows that repeat with id and payload are one capture,
+written as often under one record id; a null id is smaller than any id; payloads
+below ``min_bytes`` are always responses; an empty table gives no archives; a null
+``url``, or none, leaves out the target; other columns are ignored; long payloads
+are one record, whole, in an archive that is as large as they need.
 """
 
 from __future__ import annotations
@@ -39,14 +45,16 @@ DATE = "2024-01-01T00:00:00Z"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def record_uri(record: int) -> str:
-    """A version 8 UUID that holds a 64-bit id."""
+def record_uri(record: int, digest: bytes) -> str:
+    """A version 8 UUID that holds a 64-bit id and 58 bits of a digest."""
     bits = record & (1 << 64) - 1
     high, middle, low = bits >> 16, bits >> 4 & 0xFFF, bits & 0xF
-    return f"<urn:uuid:{uuid.UUID(int=high << 80 | 8 << 76 | middle << 64 | 2 << 62 | low << 58)}>"
+    rest = int.from_bytes(digest[:8], "big") >> 6
+    return f"<urn:uuid:{uuid.UUID(int=high << 80 | 8 << 76 | middle << 64 | 2 << 62 | low << 58 | rest)}>"
 
 
 def record_number(uri: str) -> int:
+    """The 64-bit id in a record's UUID."""
     n = uuid.UUID(uri.removeprefix("<urn:uuid:").removesuffix(">")).int
     bits = (n >> 80) << 16 | (n >> 64 & 0xFFF) << 4 | n >> 58 & 0xF
     return bits - (1 << 64) if bits >> 63 else bits
@@ -59,15 +67,16 @@ def block_of(headers: list[tuple[str, str]], block: bytes) -> bytes:
 
 def make_record(page: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
     """A response, or with ``refers_to`` a revisit that keeps the HTTP headers only."""
-    digest = "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    sha1 = hashlib.sha1(payload).digest()
+    digest = "sha1:" + base64.b32encode(sha1).decode()
     target = "".join(c if c.isprintable() and c != " " else "".join(f"%{b:02X}" for b in c.encode()) for c in url or "")
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    uri = record_uri(page) if page is not None else f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{url}{digest}')}>"
+    uri = record_uri(page, sha1) if page is not None else f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{url}{digest}')}>"
     headers = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", uri), ("WARC-Date", DATE), ("WARC-Payload-Digest", digest)]
     if url is not None:
         headers.append(("WARC-Target-URI", target))
     if refers_to is not None:
-        headers += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_uri(refers_to))]
+        headers += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_uri(refers_to, sha1))]
     headers.append(("Content-Type", "application/http; msgtype=response"))
     return block_of(headers, http if refers_to is not None else http + payload)
 
@@ -151,7 +160,7 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", payload_col: s
             nonlocal records, size
             info = block_of([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")
             data, name = pack([info, *records]), f"{uuid.uuid4().hex}.warc.zst"
-            with fs.open_output_stream(f"{base}/{name}") as f:
+            with fs.open_output_stream(f"{base}/{name}", compression=None) as f:  # the name would make pyarrow compress it again
                 f.write(data)
             out = pa.RecordBatch.from_pylist([{"path": f"{folder}/{name}", "n_records": len(records), "n_bytes": len(data)}])
             records, size = [], 0
@@ -180,7 +189,7 @@ def read(manifest: DataFrame, payloads: bool = False) -> DataFrame:
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 fs, name = FileSystem.from_uri(path)
-                with fs.open_input_stream(name) as f:
+                with fs.open_input_stream(name, compression=None) as f:
                     archive = f.read()
                 rows = []
                 for record in unpack(archive):

@@ -1,3 +1,4 @@
+import bisect
 import hashlib
 import random
 
@@ -114,3 +115,27 @@ def test_fields(spark):
     docs = spark.createDataFrame([(1, "title", None, "the body\nin two lines")], "doc_id long, title string, none string, text string")
     rows = token_counts.token_counts(docs, PATH, fields=("title", "none", "text"), by_line=False).orderBy("section").collect()
     assert [(r["field"], r["char_start"], r["char_end"]) for r in rows] == [("title", 0, 7), ("text", 7, 28)]
+
+
+def test_counts_of_every_line_equal_offsets_of_the_library(spark, sf, library):
+    """The query over the whole table, section by section."""
+    got = {}
+    for r in queries.op4_token_counts(spark, sf).orderBy("doc_id", "section").collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    assert got.keys() == texts.keys()
+    for k, text in texts.items():
+        starts = [r["char_start"] for r in got[k]]
+        cuts = [0] + [i + 1 for i, c in enumerate(text) if c == "\n" and i + 1 < len(text)]
+        assert starts == cuts and [r["char_end"] for r in got[k]] == [*cuts[1:], len(text)]
+        counts = [0] * len(cuts)
+        for a, _ in library.encode(text, add_special_tokens=False).offsets:
+            counts[bisect.bisect_right(cuts, a) - 1] += 1
+        assert [r["n_tokens"] for r in got[k]] == counts
+
+
+def test_a_long_document_and_clashing_columns(spark):
+    text = "word 日本 line\n" * 150_000
+    docs = spark.createDataFrame([(1, text, "x", 5), (1, text, "x", 5), (None, "a", "x", 5)], "doc_id long, text string, section string, n_tokens int")
+    got = token_counts.token_counts(docs, PATH).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("char_end").alias("end")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, 300_000, len(text)), (None, 1, 1)], key=str)

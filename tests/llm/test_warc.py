@@ -9,7 +9,8 @@ from marlstone.llm import queries, warc
 
 def test_ids_survive_as_uris():
     for n in (0, 1, -1, 2**63 - 1, -(2**63), 123456789):
-        assert warc.record_number(warc.record_uri(n)) == n
+        uris = {warc.record_uri(n, hashlib.sha1(x).digest()) for x in (b"", b"a", b"b")}
+        assert len(uris) == 3 and {warc.record_number(u) for u in uris} == {n}
 
 
 def test_archive_layout():
@@ -49,3 +50,16 @@ def test_nulls_ties_clashes_and_whole_payloads(spark):
     assert warc.read(warc.write(pages.limit(0), warc.archive_folder(spark))).collect() == []
     small = warc.write(pages, warc.archive_folder(spark), min_bytes=5)
     assert warc.read(small).where("record_type = 'revisit'").count() == 0
+
+
+def test_rows_of_a_page_with_different_payloads_are_different_records(spark):
+    pages = spark.createDataFrame([(1, "a", "u"), (1, "b", "u"), (0, "b", "u")], "page_id long, html string, url string")
+    manifest = warc.write(pages, warc.archive_folder(spark))
+    uris, referred = [], []
+    for r in manifest.collect():
+        with open(r["path"].removeprefix("file://"), "rb") as f:
+            for record in warc.unpack(f.read()):
+                head = warc.parse(record)[0]
+                uris.append(head["WARC-Record-ID"])
+                referred += [head["WARC-Refers-To"]] if "WARC-Refers-To" in head else []
+    assert len(set(uris)) == len(uris) and len(referred) == 1 and referred[0] in uris
