@@ -46,6 +46,8 @@ def update_from(target: DataFrame, source: DataFrame, key: str, source_key: str,
     values = [v.alias(f"__new_{c}") for c, v in set_.items()]
     keyed = rows.select(F.col(f"`{source_key}`").alias("__key"), *values).groupBy("__key").agg(*(F.first(f"__new_{c}").alias(f"__new_{c}") for c in set_), F.count(F.lit(1)).alias("__n"))
     joined = target.join(keyed, F.col(f"`{key}`") == F.col("__key"), "left")
-    once = F.when(F.col("__n") > 1, F.raise_error(F.lit("a target row matches several source rows"))).otherwise(F.col("__n").isNotNull())
+    # A filter, so that the check stays whatever columns are asked for.
+    joined = joined.where(F.when(F.col("__n") > 1, F.raise_error(F.lit("a target row matches several source rows")).cast("boolean")).otherwise(F.lit(True)))
+    once = F.col("__n").isNotNull()
     kinds = {f.name: f.dataType for f in target.schema.fields}
     return joined.select(*(F.when(once, F.col(f"__new_{c}").cast(kinds[c])).otherwise(F.col(f"`{c}`")).alias(c) if c in set_ else F.col(f"`{c}`") for c in target.columns))

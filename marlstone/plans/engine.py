@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -35,7 +38,12 @@ class Engine:
             self.register()
             return getattr(self, kind)(text, *args)
         except PySparkException as e:
-            raise SqlError(str(e).split("\n")[0]) from e
+            raise SqlError(str(e).split("\n")[0], "LOGICAL_PLAN_ERROR") from e
+
+    def explain(self, text: str, mode: str = "formatted") -> str:
+        """The plan of a query; ``mode`` as Spark's: simple, extended, formatted, cost, codegen."""
+        df = self.sql(text)
+        return self.spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), mode)
 
     def translate(self, text: str) -> str:
         """The Spark SQL that a query becomes."""
@@ -46,15 +54,26 @@ class Engine:
         return Printer(self.kind).query(tree)
 
     def register(self) -> None:
+        """Views of the catalog's tables, made anew if it changed or another engine used the session."""
         self._kinds.clear()
-        if self.catalog:
+        state = (id(self), self.catalog.version) if self.catalog else None
+        if self.catalog and getattr(self.spark, "_marlstone_views", None) != state:
+            self.spark._marlstone_views = state
             for name in self.catalog.tables:
                 self.catalog.read(name).createOrReplaceTempView(name)
             for name, frame in self.catalog.system_tables().items():
                 frame.createOrReplaceTempView(name)
 
     def query(self, text: str, tree: tuple) -> DataFrame:
-        return self.spark.sql(Printer(self.kind).query(tree))
+        printed = Printer(self.kind).query(tree)
+        try:
+            return self.spark.sql(printed)
+        except AnalysisException:
+            # Spark lets a sub-query name columns of the query around it, not of one further out.
+            flat = Printer(self.kind, flat=True).query(tree)
+            if flat == printed:
+                raise
+            return self.spark.sql(flat)
 
     # Definitions.
     def owned(self) -> Catalog:
@@ -102,9 +121,16 @@ class Engine:
         if unique:
             self.distinct(catalog.read(name), [c for c, _ in found], index)
         catalog.indexes[index] = Index(key, found, unique)
-        catalog.save()
+        if table.paths and catalog.order(name) and next(k for k, i in catalog.indexes.items() if i.table == key and not i.primary) == index:
+            self.replace(name, catalog.rows(name), cluster=True)
+        else:
+            catalog.save()
         return self.done()
 
+    def compact(self, name: str) -> None:
+        """Write a table anew, in one folder, clustered by its index: many small INSERTs leave many folders."""
+        self.replace(name, self.owned().rows(name), cluster=True)
+
     def drop_index(self, text: str, index: str) -> DataFrame:
         catalog = self.owned()
         if index not in catalog.indexes:
@@ -141,24 +167,46 @@ class Engine:
         rows = rows.toDF(*(f"c{k}" for k in range(len(given))))
         rows = rows.select(*((F.col(f"c{at[f.name.lower()]}") if f.name.lower() in at else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema))
         # Written first: the source is read once, and may be the table itself.
-        path = catalog.write(name, rows)
-        new = self.spark.read.schema(schema).parquet(f"{catalog.root}/{path}")
-        self.filled(name, new)
-        for rule, keys in catalog.keys_of(name):
-            self.distinct(new, keys, rule)
-            if table.paths:
-                a, b = new.alias("a"), catalog.read(name).alias("b")
-                same = [F.col(f"a.`{c}`").eqNullSafe(F.col(f"b.`{c}`")) for c in keys]
-                if not a.join(b, same, "left_semi").isEmpty():
-                    raise SqlError(f"{rule}: a key repeats")
-        table.paths.append(path)
-        catalog.save()
+        with self.written(name, rows) as path:
+            new = self.spark.read.schema(schema).parquet(f"{catalog.root}/{path}")
+            self.filled(name, new)
+            for rule, keys in catalog.keys_of(name):
+                self.distinct(new, keys, rule)
+                if table.paths:
+                    a, b = new.alias("a"), catalog.read(name).alias("b")
+                    same = [F.col(f"a.`{c}`").eqNullSafe(F.col(f"b.`{c}`")) for c in keys]
+                    if not a.join(b, same, "left_semi").isEmpty():
+                        raise SqlError(f"{rule}: a key repeats")
+            self.switch(name, [*table.paths, path])
         return self.done(new.count())
 
+    @contextmanager
+    def written(self, name: str, rows: DataFrame, cluster: bool = False) -> Iterator[str]:
+        """A new folder with ``rows``, removed again if what is done with it fails."""
+        catalog = self.owned()
+        path = catalog.write(name, rows, cluster)
+        try:
+            yield path
+        except BaseException:
+            catalog.discard(path)
+            raise
+
+    def switch(self, name: str, paths: list[str]) -> None:
+        """Make these folders the table, or leave it as it was."""
+        catalog = self.owned()
+        table = catalog.get(name)
+        before, table.paths = table.paths, paths
+        try:
+            catalog.save()
+        except BaseException:
+            table.paths = before
+            raise
+
     def matched(self, name: str, sources: list, where: tuple | None, extra: list[tuple] = ()) -> DataFrame:
         """Addresses of the target's rows that meet the condition, with printed extras."""
         catalog = self.owned()
         target = ("table", name, name)
+        self.spark._marlstone_views = None  # the target's view shows addresses for this statement
         catalog.rows(name).createOrReplaceTempView(catalog.key(name))
         printer = Printer(self.kind)
         printer.source = ", ".join(map(printer.table, [target, *sources]))
@@ -166,11 +214,9 @@ class Engine:
         shown = "".join(f", {printer.show(e)} AS v{k}" for k, e in enumerate(extra))
         return self.spark.sql(f"SELECT `{name}`.`{ROW_ID}`{shown} FROM {printer.source}{condition}")
 
-    def replace(self, name: str, rows: DataFrame) -> None:
-        catalog = self.owned()
-        path = catalog.write(name, rows)
-        catalog.get(name).paths = [path]
-        catalog.save()
+    def replace(self, name: str, rows: DataFrame, cluster: bool = False) -> None:
+        with self.written(name, rows, cluster) as path:
+            self.switch(name, [path])
 
     def delete(self, text: str, name: str, using: list, where: tuple | None) -> DataFrame:
         catalog = self.owned()
@@ -194,13 +240,12 @@ class Engine:
         joined = old.join(hits.withColumn("__hit", F.lit(True)), ROW_ID, "left")
         new = {known[c.lower()].name: F.col(f"v{k}").cast(known[c.lower()].dataType) for k, (c, _) in enumerate(changes)}
         rows = joined.select(*(F.when(F.col("__hit"), new[c]).otherwise(F.col(f"`{c}`")).alias(c) if c in new else F.col(f"`{c}`") for c in old.columns))
-        path = catalog.write(name, rows)
-        written = self.spark.read.schema(old.schema).parquet(f"{catalog.root}/{path}")
-        self.filled(name, written)
-        for rule, keys in catalog.keys_of(name):
-            if set(keys) & set(new):
-                self.distinct(written, keys, rule)
-        affected = hits.count()
-        catalog.get(name).paths = [path]
-        catalog.save()
+        with self.written(name, rows) as path:
+            new_rows = self.spark.read.schema(old.schema).parquet(f"{catalog.root}/{path}")
+            self.filled(name, new_rows)
+            for rule, keys in catalog.keys_of(name):
+                if set(keys) & set(new):
+                    self.distinct(new_rows, keys, rule)
+            affected = hits.count()
+            self.switch(name, [path])
         return self.done(affected)

@@ -1,6 +1,12 @@
+import io
+
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
-from marlstone.plans.dialect import Parser, SqlError
+from marlstone import __main__ as cli
+from marlstone.operators import dml
+from marlstone.plans.dialect import CODES, Parser, SqlError
 from marlstone.plans.engine import Engine
 from marlstone.plans.logictest import run
 
@@ -176,3 +182,118 @@ def test_logic_test_reader(engine):
 
 def test_logic_test_reader_reports(engine):
     assert len(run(engine, "statement ok\nSELECT nope\n\nquery I nosort\nSELECT 1\n----\n2\n\nstatement error\nSELECT 1")) == 3
+
+
+@pytest.mark.parametrize(
+    ("sql", "code"),
+    [
+        ("SELECT FROM t", "EXPECTED_FIELDS"), ("INSERT t VALUES (1)", "EXPECTED_INSERT_INTO"), ("INSERT INTO t VALUES", "EXPECTED_VALUES"), ("CREATE TABLE q ()", "EXPECTED_FIELD_DEFS"), ("CREATE TABLE q (a INTEGER FOREIGN)", "EXPECTED_FIELD_CONSTRAINTS"),
+        ("SELECT 1 FROM WHERE 1", "EXPECTED_TABLE_LIST"), ("DROP TABLE 5", "EXPECTED_IDENTIFIER"), ("CREATE TABLE q (a NOTYPE)", "EXPECTED_DATA_TYPE"), ("SELECT a FROM t ORDER BY a", "EXPECTED_ORDER_BY_LIST"), ("CREATE TABLE q a INTEGER", "EXPECTED_LEFT_PARANTH"),
+        ("SELECT (1 FROM t", "EXPECTED_RIGHT_PARANTH"), ("SELECT 1 + FROM t", "EXPECTED_EXPRESSION"), ("SELECT 1 FROM t WHERE", "EXPECTED_EXPRESSION_IN_WHERE_CLAUSE"), ("SELECT COUNT(*) FROM t HAVING", "EXPECTED_EXPRESSION_IN_HAVING_CLAUSE"), ("SELECT 1 FROM t GROUP BY 1", "EXPECTED_GROUP_BY_LIST"),
+        ("SELECT 1 FROM t WHERE SUM(a) > 1", "CANT_HAVE_AGGREGATION"), ("SELECT NOPE(1)", "CANT_CALL_FUNCTION"), ("SELECT CAST(1 AS NOPE)", "CANT_CAST_TYPE"), ("SELECT CASE 1 END", "INCORRECT_CASE_EXPRESSION"), ("SELECT SUM(MAX(a)) FROM t", "CANT_NEST_AGGREGATION"),
+        ("SELECT zz FROM t", "LOGICAL_PLAN_ERROR"), ("DROP TABLE zz", "LOGICAL_PLAN_ERROR"), ("CREATE INDEX i t (a)", "EXPECTED_ON_TABLE_NAME"), ("ALTER TABLE t", "QUERY_NOT_SUPPORTED"),
+    ],
+)
+def test_errors_carry_a_reason(filled, sql, code):
+    with pytest.raises(SqlError) as e:
+        filled.sql(sql).collect()
+    assert e.value.code == code and code in CODES
+
+
+def test_integers_that_outgrow_32_bits(filled):
+    assert rows(filled, "SELECT 2147483647 + 1, -2147483647 - 2, 65536 * 65536, id + 2147483647 FROM t WHERE id = 4") == [(2**31, -(2**31) - 1, 2**32, 2**31 + 3)]
+    assert rows(filled, "SELECT SUM((SELECT MAX(a) FROM t)) FROM t") == [(28,)]
+
+
+def test_sub_queries_may_name_columns_two_levels_out(filled):
+    nested = "SELECT x.id FROM t x WHERE EXISTS (SELECT 1 FROM t y WHERE y.id > x.id AND {})"
+    assert rows(filled, nested.format("EXISTS (SELECT 1 FROM t z WHERE z.a = x.a AND z.id = y.id)")) == [(1,)]
+    assert rows(filled, nested.format("x.a IN (SELECT z.a FROM t z WHERE z.id = y.id AND z.id > x.id)")) == [(1,)]
+
+
+def test_plans_are_shown(filled):
+    assert "Physical Plan" in filled.explain("SELECT id FROM t WHERE a = 7") and "PushedFilters" in filled.explain("SELECT id FROM t WHERE a = 7")
+
+
+def folders(engine):
+    found = engine.catalog._fs.globStatus(engine.catalog._path("*/*")) or []
+    return len(list(found))
+
+
+def test_rejected_changes_and_old_versions_leave_no_files(spark, filled):
+    before = folders(filled)
+    for bad in ("INSERT INTO t VALUES (1, 1, 1.0, 'x')", "UPDATE t SET id = 1"):
+        with pytest.raises(SqlError):
+            filled.sql(bad)
+    assert folders(filled) == before
+    filled.sql("UPDATE t SET a = 1")
+    filled.sql("CREATE TABLE u (a INTEGER)")
+    filled.sql("INSERT INTO u VALUES (1)")
+    filled.sql("DROP TABLE u")
+    assert folders(filled) == before + 2 and filled.catalog.vacuum() == 2 and folders(filled) == 1
+    assert rows(Engine(spark, filled.catalog.root), "SELECT COUNT(*) FROM t WHERE a = 1") == [(4,)]
+
+
+def test_a_second_writer_fails_and_a_torn_write_is_not_seen(spark, filled):
+    other = Engine(spark, filled.catalog.root)
+    filled.sql("INSERT INTO t VALUES (8, 1, 1.0, 'x')")
+    with pytest.raises(SqlError):
+        other.sql("INSERT INTO t VALUES (9, 1, 1.0, 'x')")
+    assert other.catalog.get("t").paths and rows(Engine(spark, filled.catalog.root), "SELECT COUNT(*) FROM t") == [(5,)]
+    out = filled.catalog._fs.create(filled.catalog._path("half.tmp"), True)
+    out.write(bytearray(b"{"))
+    out.close()
+    assert rows(Engine(spark, filled.catalog.root), "SELECT COUNT(*) FROM t") == [(5,)]
+
+
+def test_an_index_clusters_the_files(spark, engine, tmp_path):
+    spark.range(20_000).selectExpr("id * 7919 % 20000 AS k", "id AS v").repartition(4).createOrReplaceTempView("source_rows")
+    engine.sql("CREATE TABLE big (k BIGINT, v BIGINT)")
+    engine.sql("INSERT INTO big SELECT k, v FROM source_rows")
+    engine.sql("CREATE INDEX by_k ON big (k)")
+    (path,) = engine.catalog.get("big").paths
+    spans = []
+    for file in sorted((tmp_path / "db" / path).glob("*.parquet")):
+        for g in range(pq.ParquetFile(file).metadata.num_row_groups):
+            stats = pq.ParquetFile(file).metadata.row_group(g).column(0).statistics
+            spans.append((stats.min, stats.max))
+    spans.sort()
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:])) and spans[0][0] == 0 and spans[-1][1] == 19_999
+    assert rows(engine, "SELECT k FROM big WHERE k >= 19998 ORDER BY 1") == [(19_998,), (19_999,)]
+    engine.sql("INSERT INTO big VALUES (-1, 0)")
+    engine.compact("big")
+    assert len(engine.catalog.get("big").paths) == 1 and rows(engine, "SELECT COUNT(*), MIN(k) FROM big") == [(20_001, -1)]
+
+
+def test_an_update_from_fails_whatever_columns_are_read(spark):
+    target = spark.createDataFrame([(1, "a")], "k int, v string")
+    source = spark.createDataFrame([(1, "x"), (1, "y")], "j int, w string")
+    with pytest.raises(Exception, match="several source rows"):
+        dml.update_from(target, source, "k", "j", {"v": F.col("w")}).select("k").collect()
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    monkeypatch.setattr(cli, "build", lambda master: spark)
+    text = """CREATE TABLE q (a INTEGER, s TEXT); INSERT INTO q VALUES (1, 'semi;colon'),
+    (0, 'two'); -- a comment; with one
+SELECT s FROM q ORDER BY 1; SELECT 1 / a FROM q; SELECT nope;
+\\p
+SELECT a FROM q WHERE a = 1;
+\\s
+SELECT 5;
+\\h
+quit
+SELECT 7;
+"""
+    cli.main(f"file://{tmp_path}/db", io.StringIO(text))
+    shown = capsys.readouterr().out
+    assert "semi;colon\ntwo\n2 rows" in shown and "DIVIDE_BY_ZERO" in shown and shown.count("error:") == 2
+    assert "Physical Plan" in shown and "rows are not shown" in shown and "\n5\n" not in shown and "quit" in shown and "\n7\n" not in shown
+
+
+def test_logic_test_labels_modes_and_faults(engine, monkeypatch):
+    script = "query I nosort same\nSELECT 1\n----\n1\n\nquery I nosort same\nSELECT 2\n----\n2\n\nquery I sideways\nSELECT 1\n----\n1"
+    assert [x.partition(": ")[2][:12] for x in run(engine, script)] == ["another resu", "unknown sort"]
+    monkeypatch.setattr(engine, "sql", lambda text: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        run(engine, "statement error\nSELECT 1")

@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+from marlstone.plans import sql_queries
 from marlstone.plans.queries import ORACLE_SQL, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -33,6 +34,15 @@ def test_query_equals_oracle(spark, sf, oracle, name):
     assert rows_of(got.columns, got.collect()) == rows_of(names, cursor.fetchall())
 
 
+@pytest.mark.parametrize("name", sorted(sql_queries.QUERIES))
+def test_text_equals_oracle(spark, sf, oracle, name):
+    got = sql_queries.QUERIES[name](spark, sf)
+    cursor = oracle.execute(sql_queries.ORACLE_SQL[name])
+    names = [d[0] for d in cursor.description]
+    assert sorted(names) == sorted(got.columns)
+    assert rows_of(got.columns, got.collect()) == rows_of(names, cursor.fetchall())
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
