@@ -65,15 +65,16 @@ class Engine:
                 frame.createOrReplaceTempView(name)
 
     def query(self, text: str, tree: tuple) -> DataFrame:
-        printed = Printer(self.kind).query(tree)
-        try:
-            return self.spark.sql(printed)
-        except AnalysisException:
-            # Spark lets a sub-query name columns of the query around it, not of one further out.
-            flat = Printer(self.kind, flat=True).query(tree)
-            if flat == printed:
-                raise
-            return self.spark.sql(flat)
+        """Spark lets a sub-query name columns of the query around it, not of one further out, and
+        not from a table in FROM; so the forms of the text are tried in turn."""
+        forms = dict.fromkeys(Printer(self.kind, flat=flat, split=split).query(tree) for flat, split in ((False, True), (False, False), (True, True)))
+        for k, printed in enumerate(forms):
+            try:
+                return self.spark.sql(printed)
+            except AnalysisException:
+                if k + 1 == len(forms):
+                    raise
+        raise AssertionError
 
     # Definitions.
     def owned(self) -> Catalog:

@@ -297,3 +297,20 @@ def test_logic_test_labels_modes_and_faults(engine, monkeypatch):
     monkeypatch.setattr(engine, "sql", lambda text: 1 / 0)
     with pytest.raises(ZeroDivisionError):
         run(engine, "statement error\nSELECT 1")
+
+
+def test_not_in_a_query_knows_null_and_forces_no_broadcast(spark, filled):
+    filled.sql("CREATE TABLE u (k INTEGER)")
+    assert rows(filled, "SELECT id FROM t WHERE a NOT IN (SELECT k FROM u) ORDER BY 1") == [(1,), (2,), (3,), (4,)]
+    filled.sql("INSERT INTO u VALUES (7), (9)")
+    assert rows(filled, "SELECT id FROM t WHERE id < 9 AND a NOT IN (SELECT k FROM u) ORDER BY 1") == [(3,)]
+    assert rows(filled, "SELECT id FROM t x WHERE a NOT IN (SELECT k FROM u WHERE k > x.id + 6) ORDER BY 1") == [(1,), (3,), (4,)]
+    assert rows(filled, "SELECT id FROM t WHERE a NOT IN (SELECT k FROM u) OR id = 1 ORDER BY 1") == [(1,), (3,)]
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "Broadcast" not in filled.explain("SELECT id FROM t WHERE a NOT IN (SELECT k FROM u)")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    filled.sql("INSERT INTO u VALUES (NULL)")
+    assert rows(filled, "SELECT id FROM t WHERE a NOT IN (SELECT k FROM u)") == []
