@@ -18,8 +18,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from marlstone.llm import bpe, decontaminate as dc, language_id as lid, line_dedup as ld, near_dedup as nd
-from marlstone.llm.common import materialise, scratch
+from marlstone.llm.common import materialise
 from marlstone.llm.queries import vocabulary
+from marlstone.sources.scratch import scratch
 
 #: A text whose best language gets less than this is in none that the model knows.
 MIN_SCORE = 0.3

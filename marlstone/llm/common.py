@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
-import re
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -15,6 +12,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.scratch import remove, scratch
+
 #: Words of the word-based operators: runs of anything but ASCII white space.
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 #: Word hashes kept per worker.
@@ -22,46 +21,23 @@ CACHE_WORDS = 150_000
 _U = np.uint64
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only a local session without the setting (tests) gets a temporary folder;
-    on a cluster such a folder would be invisible to the other machines.
-    """
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not re.fullmatch(r"local(\[.*\])?", conf.get("spark.master", "")):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="marlstone-shared-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder, removed when the driver's Python ends."""
-    path = f"{shared_dir(spark)}/marlstone/{tag}-{uuid.uuid4().hex}"
-    atexit.register(remove, spark, path)
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session has ended: nothing can be removed any more
-        pass
-
-
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: the lineage is cut
     and a lost executor costs no recomputation of what was written."""
     spark = df.sparkSession
     path = scratch(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._marlstone_path = path
+    return out
+
+
+def release(*written: DataFrame) -> None:
+    """Remove tables made by ``materialise`` that nothing will read again, so that
+    a long session keeps no more than its results depend on."""
+    for df in written:
+        if path := getattr(df, "_marlstone_path", None):
+            remove(df.sparkSession, path)
 
 
 def ship(spark: SparkSession) -> None:

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialise
+from .common import materialise, release
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,8 +25,10 @@ def components(edges: DataFrame) -> DataFrame:
         hooks = ends.where("la <> lb").select(F.greatest("la", "lb").alias("root"), F.least("la", "lb").alias("to")).groupBy("root").agg(F.min("to").alias("to"))
         hooks = materialise(hooks, "hooks")
         if hooks.isEmpty():
+            release(hooks)
             return labels
         hooked = labels.join(hooks, F.col("label") == F.col("root"), "left").select("node", F.coalesce("to", "label").alias("label"))
         jump = materialise(hooked, "labels")
         up = jump.select(F.col("node").alias("via"), F.col("label").alias("further"))
-        labels = materialise(jump.join(up, F.col("label") == F.col("via"), "left").select("node", F.coalesce(F.least("further", "label"), "label").alias("label")), "labels")
+        before, labels = labels, materialise(jump.join(up, F.col("label") == F.col("via"), "left").select("node", F.coalesce(F.least("further", "label"), "label").alias("label")), "labels")
+        release(before, hooks, jump)

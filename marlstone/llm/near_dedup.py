@@ -47,7 +47,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import WordHashes, materialise, mix, ship, small
+from .common import WordHashes, materialise, mix, release, ship, small
 from .components import components
 
 SHINGLE_WORDS, PERCENT = 5, 80
@@ -184,7 +184,6 @@ def in_blocks(rows: DataFrame) -> DataFrame:
     A row is in the part of its own block, where members of the block meet each
     other, and in a crossed part for each other block, where the two blocks meet.
     """
-    rows = materialise(rows, "left")
     weight = materialise(rows.groupBy("key").agg((F.sum(F.col("n") + 16) / (GROUP_WEIGHT // 2)).cast("int").alias("more")), "weights")
     own = F.pmod(F.xxhash64("id"), F.col("more") + 1).cast("int")
     parts = F.transform(F.sequence(F.lit(0), F.col("more")), lambda j: F.least(own, j) * (F.col("more") + 1) + F.greatest(own, j))
@@ -293,23 +292,30 @@ def near_dedup(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int
         apart = sum((F.bit_count(F.col(f"{x}{b}").bitwiseXOR(F.col(f"{y}{b}"))) for b in marks), F.lit(0))
         return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (apart <= FAR)
 
+    def joined(links: DataFrame, new: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+        if new.isEmpty():
+            return links, labels
+        links = links.unionByName(new)
+        release(labels)
+        return links, components(links)
+
     for turn in range(STAR_ROUNDS):
         now = labelled(members, labels)
         rank = F.struct("mates", "id") if turn == 0 else F.struct(F.xxhash64("id", F.lit(turn)))
         open_ = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max_by(F.struct(*own), rank).alias("p")).where("lo < hi")
-        pairs = now.join(materialise(open_.select("key", "p"), "open"), "key").where((F.col("label") != F.col("p.label")) & alike("", "p.")).select("id", F.col("p.id").alias("other"))
-        pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-        new = materialise(verified(materialise(pairs, "candidates"), sets, percent).distinct(), "links")
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            labels = components(links)
+        pivots = materialise(open_.select("key", "p"), "open")
+        pairs = now.join(pivots, "key").where((F.col("label") != F.col("p.label")) & alike("", "p.")).select("id", F.col("p.id").alias("other"))
+        candidates = materialise(pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), "candidates")
+        new = materialise(verified(candidates, sets, percent).distinct(), "links")
+        release(now, pivots, candidates)
+        links, labels = joined(links, new, labels)
     now = labelled(members, labels)
-    open_ = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    left = in_blocks(now.join(materialise(open_, "open"), "key", "left_semi")).groupBy("key", "part").applyInArrow(near, "key long, part int, own int, crossed boolean, id long, n long, label long")
+    open_ = materialise(now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key"), "open")
+    rest = materialise(now.join(open_, "key", "left_semi"), "left")
+    left = in_blocks(rest).groupBy("key", "part").applyInArrow(near, "key long, part int, own int, crossed boolean, id long, n long, label long")
     tested = left.join(sets, "id").select("key", "part", "own", "crossed", "id", "label", "set").groupBy("key", "part").applyInArrow(linker(percent), "a long, b long")
-    new = materialise(tested.distinct(), "links")
-    if not new.isEmpty():
-        labels = components(links.unionByName(new))
+    links, labels = joined(links, materialise(tested.distinct(), "links"), labels)
+    release(now, open_, rest, sets, members, found, shared)
     named = classes.join(labels, F.col("rep") == F.col("node"), "left").select("f1", "f2", F.coalesce("label", "rep").alias("component"))
     of_rows = rows.join(named, ["f1", "f2"], "left").select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id")).alias("component_id"))
     return of_rows.select("id", F.col("n").alias("n_shingles"), "component_id", (F.col("component_id").isNull() | (F.col("component_id") == F.col("id"))).alias("kept"))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..sources.tables import read
 from . import bpe, decontaminate, html_extract, language_id, line_dedup, near_dedup, quality_rules, repeats, token_counts, warc
 
 
@@ -17,7 +18,7 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read(spark, sf_dir, name)
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
