@@ -28,7 +28,10 @@ LANDMARKS = {"main", "article", "header", "footer", "nav", "aside", "form", "fig
 
 TOKENS = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 NAMES = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+#: Styles that hide an element; the attribute that does, outside quoted values.
+HIDING = re.compile(r"""display\s*:\s*none|visibility\s*:\s*hidden|\baria-hidden\s*=\s*["']?true""", re.I)
+HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)(?!\s*=\s*false)""", re.I)
+QUOTED = re.compile(r"""=\s*(?:"[^"]*"|'[^']*')""")
 PARTS = re.compile(r"[a-z]+")
 
 
@@ -61,7 +64,7 @@ def enter(parent: Element, tag: str, attributes: str) -> Element:
         for m in NAMES.finditer(attributes):
             words.update(PARTS.findall((m[2] or m[3] or m[4] or "").lower()))
         own.update(f"name:{w}" for w in words)
-        if HIDDEN.search(attributes):
+        if HIDING.search(attributes) or HIDDEN.search(QUOTED.sub("=", attributes)):
             own.add("hidden")
     landmarks = parent.landmarks
     if tag in LANDMARKS and (not landmarks or landmarks[-1] != tag):

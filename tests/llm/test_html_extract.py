@@ -180,3 +180,11 @@ def test_elements_with_text_of_their_own_lose_nothing(tag):
 def test_an_open_video_keeps_the_rest_of_the_article():
     page = PAGE.replace("<p>Second", "<video src=v><p>Second")
     assert hx.default_field().extract(page) == hx.default_field().extract(PAGE)
+
+
+def test_what_hides_an_element():
+    hidden = lambda attributes: "hidden" in leaves(f"<div {attributes}>x</div>")[0].element.features
+    assert all(map(hidden, ("hidden", 'class="a" hidden', 'hidden=""', "HIDDEN", 'style="color:red; display: none"', "style='visibility:hidden'", 'aria-hidden="true"')))
+    assert not any(map(hidden, ('style="overflow:hidden"', 'class="hidden-print"', 'class="visually hidden"', 'data-hidden="x"', 'aria-hidden="false"', 'title="not hidden"')))
+    open_ = PAGE.replace('class="post"', 'class="post" style="overflow:hidden"')
+    assert hx.default_field().extract(open_) == hx.default_field().extract(PAGE)
