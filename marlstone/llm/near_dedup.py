@@ -24,9 +24,12 @@ edited copies collide more often than the copies do among themselves), then
 against another; links merge components.  What remains is every pair of a bucket
 whose ends are still in different components.  A task tests those of a bucket in
 place, so no candidate is left out, and sends back only links that join two
-components.  Buckets with more than ``GROUP_WEIGHT`` elements are dealt to tasks
-as pairs of blocks: a block with itself in one task, with each other block in one
-more, so every pair of members meets in exactly one task.
+components.  Members of a bucket with more than ``GROUP_WEIGHT`` elements are dealt
+out again by their rarest shingles (a similar pair shares one of the
+``n - ceil(0.8 n) + 1`` that are rarest in the bucket), so texts that share nothing
+but a large common part meet no more.  What is still large then goes to tasks as
+pairs of blocks: a block with itself in one task, with each other block in one more,
+so every pair of members meets in exactly one task.
 
 Bands and ``FAR`` are made for similarities of ``LEAST_PERCENT`` and more; a smaller
 ``percent`` is an error.
@@ -45,6 +48,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .common import WordHashes, materialise, mix, release, ship, small
@@ -178,13 +182,54 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(first, "a").join(second, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def weights(rows: DataFrame) -> DataFrame:
+    """Per bucket how many more blocks than one it needs (``more``)."""
+    return materialise(rows.groupBy("key").agg((F.sum(F.col("n") + 16) / (GROUP_WEIGHT // 2)).cast("int").alias("more")), "weights")
+
+
+def by_rare_shingles(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``rows`` (key, id, n, label, …) of large buckets in smaller ones, which have keys of their own.
+
+    Counts are aggregated before the shuffle, a list has the shingles of one text, and both
+    sides of the joins are written, so that Spark can split a shingle that all members have.
+    """
+
+    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = (pc.binary_length(batch.column(2)).to_numpy() // 8).astype(np.int64)
+            flat = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(2)] or [np.zeros(0, np.int64)])
+            at = pa.array(np.repeat(np.arange(n.size), n))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(flat)], names=["key", "id", "element"])
+
+    members = rows.select("key", "id").join(sets, "id").select("key", "id", "set")
+    flat = materialise(members.mapInArrow(elements, "key long, id long, element long"), "elements")
+    often = materialise(flat.groupBy("key", "element").agg(F.count(F.lit(1)).alias("often")), "often")
+    ordered = flat.join(often, ["key", "element"]).groupBy("key", "id").agg(F.sort_array(F.collect_list(F.struct("often", "element"))).alias("x"))
+    n = F.size("x")
+    needed = n - F.ceil(percent * n / 100).cast("int") + 1
+    prefixes = ordered.select("key", "id", F.explode(F.slice("x", F.lit(1), needed)).alias("x")).where("x.often > 1").select("key", "id", F.col("x.element").alias("element"))
+    fine = materialise(rows.join(prefixes, ["key", "id"]).withColumn("key", F.xxhash64("key", "element")).drop("element").select(*rows.columns), "fine")
+    release(flat, often)
+    open_ = fine.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    return fine.join(materialise(open_, "open"), "key", "left_semi")
+
+
+def with_small_buckets(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``rows`` with large buckets split by rare shingles."""
+    hot = weights(rows).where("more > 0").select("key")
+    if hot.isEmpty():
+        return rows
+    fine = by_rare_shingles(rows.join(hot, "key", "left_semi"), sets, percent)
+    return materialise(rows.join(hot, "key", "left_anti").unionByName(fine), "small-buckets")
+
+
 def in_blocks(rows: DataFrame) -> DataFrame:
     """``rows`` (key, id, n, …) with ``part``, ``own`` and ``crossed``: large buckets as all pairs of their blocks.
 
     A row is in the part of its own block, where members of the block meet each
     other, and in a crossed part for each other block, where the two blocks meet.
     """
-    weight = materialise(rows.groupBy("key").agg((F.sum(F.col("n") + 16) / (GROUP_WEIGHT // 2)).cast("int").alias("more")), "weights")
+    weight = weights(rows)
     own = F.pmod(F.xxhash64("id"), F.col("more") + 1).cast("int")
     parts = F.transform(F.sequence(F.lit(0), F.col("more")), lambda j: F.least(own, j) * (F.col("more") + 1) + F.greatest(own, j))
     dealt = rows.join(weight, "key").withColumn("own", own).withColumn("part", F.explode(F.when(F.col("more") == 0, F.array(F.lit(0))).otherwise(parts)))
@@ -311,7 +356,7 @@ def near_dedup(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int
         links, labels = joined(links, new, labels)
     now = labelled(members, labels)
     open_ = materialise(now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key"), "open")
-    rest = materialise(now.join(open_, "key", "left_semi"), "left")
+    rest = with_small_buckets(materialise(now.join(open_, "key", "left_semi"), "left"), sets, percent)
     left = in_blocks(rest).groupBy("key", "part").applyInArrow(near, "key long, part int, own int, crossed boolean, id long, n long, label long")
     tested = left.join(sets, "id").select("key", "part", "own", "crossed", "id", "label", "set").groupBy("key", "part").applyInArrow(linker(percent), "a long, b long")
     links, labels = joined(links, materialise(tested.distinct(), "links"), labels)

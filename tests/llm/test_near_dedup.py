@@ -123,3 +123,23 @@ def test_every_pair_of_a_large_bucket_meets_once(spark, monkeypatch):
 def test_similarities_that_bands_are_not_made_for_are_refused(spark):
     with pytest.raises(ValueError):
         nd.near_dedup(spark.createDataFrame([], "doc_id long, text string"), percent=50)
+
+
+def test_members_of_a_large_bucket_meet_by_rare_shingles_only(spark, monkeypatch):
+    """Texts that share half of their shingles, among them a few that are similar."""
+    monkeypatch.setattr(nd, "GROUP_WEIGHT", 2_000)
+    rng = np.random.default_rng(12)
+    common = rng.integers(0, 2**62, 60, dtype=np.int64)
+    sets = [np.unique(np.concatenate([common, rng.integers(0, 2**62, 60, dtype=np.int64)])) for _ in range(400)]
+    for k in range(0, 40, 2):
+        sets[k + 1] = np.unique(np.concatenate([sets[k][6:], rng.integers(0, 2**62, 6, dtype=np.int64)]))
+    rows = spark.createDataFrame([(1, k, int(s.size), k) for k, s in enumerate(sets)], "key long, id long, n long, label long")
+    packed = spark.createDataFrame([(k, s.tobytes()) for k, s in enumerate(sets)], "id long, set binary")
+    got = nd.with_small_buckets(rows, packed, 80).collect()
+    buckets = {}
+    for r in got:
+        buckets.setdefault(r["key"], set()).add(r["id"])
+    met = {(a, b) for ids in buckets.values() for a in ids for b in ids if a < b}
+    share = lambda a, b: np.intersect1d(sets[a], sets[b]).size / np.union1d(sets[a], sets[b]).size
+    similar = {(a, b) for a in range(400) for b in range(a + 1, 400) if share(a, b) >= 0.8}
+    assert len(similar) >= 20 and similar <= met and len(met) < 2 * len(similar)
