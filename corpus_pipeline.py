@@ -83,7 +83,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = own.withColumns({"__key": key, "__name": F.coalesce(name, F.lit(0))})
     groups = materialise(nd.near_dedup(keyed, id_col="__key").select("id", "kept"), "near-copies")
     dropped = groups.where("NOT kept").select(F.col("id").alias("__key")).distinct()
-    kept = keyed.join(dropped, "__key", "left_anti")
+    kept = keyed.join(dropped.hint("merge"), "__key", "left_anti")  # dealt by id at every size
     again = materialise(groups.groupBy(F.col("id").alias("__key")).count().where("count > 1").select("__key"), "repeated-ids")
     if again.isEmpty():
         return back(kept)

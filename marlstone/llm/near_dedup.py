@@ -323,7 +323,8 @@ def near_dedup(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int
     about = rep_rows.select("id", "n", *(F.col("bits")[k].alias(f"b{k}") for k in range(BITS // 64))).join(mates, "id")
     members = materialise(found.select("key", "id").join(about, "id"), "members")
     wanted = members.select("id").distinct()
-    sets = materialise(sets_of(texts.join(wanted, "id", "left_semi"), shingle_words), "sets")
+    # Texts are dealt by id at every size: ids to look at grow with them.
+    sets = materialise(sets_of(texts.join(wanted.hint("merge"), "id", "left_semi"), shingle_words), "sets")
     # An id with several sets links the classes they are in.
     several = full.groupBy("id").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).where("lo < hi").select("id")
     links = materialise(full.join(several, "id", "left_semi").join(classes, ["f1", "f2"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct(), "links")
