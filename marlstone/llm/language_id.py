@@ -43,8 +43,8 @@ WORDS = regex.compile(r"\p{L}+")
 ASCII_WORDS = re.compile("[a-z]+")
 #: The posterior counts at most so many words, so that scores stay graded.
 EVIDENCE_WORDS = 12
-#: Scores of words met that a worker keeps, and words of a text scored at once.
-CACHE_BYTES, CHUNK_WORDS = 16 << 20, 1 << 16
+#: Scores of words met that a worker keeps, in bytes and words, and words of a text scored at once.
+CACHE_BYTES, CACHE_WORDS, CHUNK_WORDS = 16 << 20, 100_000, 1 << 16
 
 
 def words_of(text: str) -> list[str]:
@@ -65,7 +65,13 @@ class Table:
             for lang, c in of.items():
                 totals[lang] += c
         self.floor = np.log(0.5 / totals).tolist() if counts else [0.0] * n_langs
-        self.gains = {x: tuple((lang, math.log(2 * c + 1)) for lang, c in of.items()) for x, of in counts.items()}
+        same: dict[tuple, tuple] = {}  # most entries are rare, so that a few tuples serve all
+        self.gains = {}
+        for x, of in counts.items():
+            key = tuple(of.items())
+            if key not in same:
+                same[key] = tuple((lang, math.log(2 * c + 1)) for lang, c in key)
+            self.gains[x] = same[key]
 
     def mean(self, entries: list[str], least: float) -> list[float] | None:
         """Mean log frequencies of the entries that are known, if at least so many are."""
@@ -120,7 +126,7 @@ class Scorer:
 
     def __init__(self, model: Model) -> None:
         self.model, self.rows = model, {}
-        self.most = max(CACHE_BYTES // (8 * max(len(model.langs), 1)), 1024)
+        self.most = max(min(CACHE_BYTES // (8 * max(len(model.langs), 1)), CACHE_WORDS), 1024)
         self.table = np.zeros((1024, len(model.langs)))
 
     def _row(self, word: str) -> int:
