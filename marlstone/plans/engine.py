@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -19,6 +20,7 @@ class Engine:
         self.spark = spark
         self.catalog = Catalog(spark, root) if root else None
         self._kinds: dict[tuple[str, str], str | None] = {}
+        self._name = uuid.uuid4().hex
 
     # Queries.
     def kind(self, printed: str, source: str) -> str | None:
@@ -56,13 +58,17 @@ class Engine:
     def register(self) -> None:
         """Views of the catalog's tables, made anew if it changed or another engine used the session."""
         self._kinds.clear()
-        state = (id(self), self.catalog.version) if self.catalog else None
-        if self.catalog and getattr(self.spark, "_marlstone_views", None) != state:
-            self.spark._marlstone_views = state
-            for name in self.catalog.tables:
-                self.catalog.read(name).createOrReplaceTempView(name)
-            for name, frame in self.catalog.system_tables().items():
-                frame.createOrReplaceTempView(name)
+        if self.catalog is None:
+            return
+        owner, version, old = getattr(self.spark, "_marlstone_views", None) or (None, 0, set())
+        if (owner, version) == (self._name, self.catalog.version):
+            return
+        views = {name: self.catalog.read(name) for name in self.catalog.tables} | self.catalog.system_tables()
+        for name in old - set(views):
+            self.spark.catalog.dropTempView(name)
+        for name, frame in views.items():
+            frame.createOrReplaceTempView(name)
+        self.spark._marlstone_views = (self._name, self.catalog.version, set(views))
 
     def query(self, text: str, tree: tuple) -> DataFrame:
         """Spark lets a sub-query name columns of the query around it, not of one further out, and
@@ -107,7 +113,6 @@ class Engine:
         del catalog.tables[key]
         catalog.indexes = {k: i for k, i in catalog.indexes.items() if i.table != key}
         catalog.save()
-        self.spark.catalog.dropTempView(key)
         return self.done()
 
     def create_index(self, text: str, index: str, name: str, keys: list, unique: bool) -> DataFrame:
@@ -207,7 +212,8 @@ class Engine:
         """Addresses of the target's rows that meet the condition, with printed extras."""
         catalog = self.owned()
         target = ("table", name, name)
-        self.spark._marlstone_views = None  # the target's view shows addresses for this statement
+        # The target's view shows addresses for this statement.
+        self.spark._marlstone_views = (None, 0, self.spark._marlstone_views[2])
         catalog.rows(name).createOrReplaceTempView(catalog.key(name))
         printer = Printer(self.kind)
         printer.source = ", ".join(map(printer.table, [target, *sources]))

@@ -314,3 +314,16 @@ def test_not_in_a_query_knows_null_and_forces_no_broadcast(spark, filled):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
     filled.sql("INSERT INTO u VALUES (NULL)")
     assert rows(filled, "SELECT id FROM t WHERE a NOT IN (SELECT k FROM u)") == []
+
+
+def test_tables_of_another_database_are_not_seen(spark, tmp_path):
+    one, two = (Engine(spark, f"file://{tmp_path}/{k}") for k in "ab")
+    one.sql("CREATE TABLE lonely (a INTEGER)")
+    one.sql("INSERT INTO lonely VALUES (1)")
+    two.sql("CREATE TABLE both (a INTEGER)")
+    with pytest.raises(SqlError):
+        two.sql("SELECT * FROM lonely")
+    assert rows(one, "SELECT * FROM lonely") == [(1,)]
+    one.sql("DROP TABLE lonely")
+    with pytest.raises(SqlError):
+        one.sql("SELECT * FROM lonely")
