@@ -16,6 +16,7 @@ repeated rows give repeated results; texts are never cut.
 from __future__ import annotations
 
 import json
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,8 +29,9 @@ from .common import ship, small
 
 #: Pre-tokenisation of byte-level BPE (fixed value: the vocabulary was built with it).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces and tested pairs kept per Python worker; a cache starts anew when it is full.
-CACHE_PIECES, CACHE_PAIRS = 150_000, 150_000
+#: Pieces and tested pairs kept per Python worker.  A full cache becomes the older of two
+#: generations, from which what is met again is taken over; pairs start anew.
+CACHE_PIECES, CACHE_PAIRS = 100_000, 150_000
 #: Pieces longer than this aren't kept.
 CACHE_CHARS = 64
 
@@ -72,12 +74,14 @@ class Bpe:
             raw = self.token_bytes[i].decode("latin-1")
             self.suffixes.add_word(raw, (i, len(raw)))
         self.suffixes.make_automaton()
-        self._joins: dict[tuple[int, int], bool] = {}
+        self._joins: dict[int, bool] = {}
         self._pieces: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
         self._find = regex.compile(PIECES).findall
         self._special_at = regex.compile("|".join(f"({regex.escape(s)})" for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         size = max(self.token_bytes) + 1
         self.byte_table = [self.token_bytes.get(i, b"") for i in range(size)]
+        self.byte_sizes = [len(b) for b in self.byte_table]
         self.lengths = np.array([len(b) for b in self.byte_table], dtype=np.int64)
 
     def compatible(self, left: int, right: int) -> bool:
@@ -89,7 +93,7 @@ class Bpe:
         parent on the left is made, and not after the parent on the right is
         (of equal ranks the leftmost goes first).
         """
-        key = (left, right)
+        key = left << 32 | right
         known = self._joins.get(key)
         if known is not None:
             return known
@@ -118,32 +122,42 @@ class Bpe:
     def encode_piece(self, piece: str) -> list[int]:
         raw = piece.encode("utf-8").decode("latin-1")
         last = [-1] * (len(raw) + 1)
-        compatible = self.compatible
+        compatible, tested = self.compatible, self._joins.get
         for end, (token, length) in self.suffixes.iter(raw):
-            if last[end + 1] < 0:
-                before = end + 1 - length
-                if before == 0 or (last[before] >= 0 and compatible(last[before], token)):
-                    last[end + 1] = token
-        ids, at = [], len(raw)
+            end += 1
+            if last[end] < 0:
+                if end == length:
+                    last[end] = token
+                    continue
+                left = last[end - length]
+                if left >= 0:
+                    ok = tested(left << 32 | token)
+                    if compatible(left, token) if ok is None else ok:
+                        last[end] = token
+        ids, at, size = [], len(raw), self.byte_sizes
         while at > 0:
             ids.append(last[at])
-            at -= len(self.byte_table[last[at]])
+            at -= size[last[at]]
         return ids[::-1]
 
     def _packed(self, text: str) -> bytes:
         pieces = self._find(text)
-        known = self._pieces
-        found = list(map(known.get, pieces))
+        found = list(map(self._pieces.get, pieces))
         if None in found:
+            known, older = self._pieces, self._older
             for k, packed in enumerate(found):
                 if packed is None:
                     piece = pieces[k]
                     packed = known.get(piece)
                     if packed is None:
-                        packed = np.array(self.encode_piece(piece), dtype="<u4").tobytes()
+                        packed = older.get(piece)
+                        if packed is None:
+                            ids = self.encode_piece(piece)
+                            packed = struct.pack(f"<{len(ids)}I", *ids)
                         if len(piece) <= CACHE_CHARS:
                             if len(known) >= CACHE_PIECES:
-                                known.clear()
+                                self._older = older = known
+                                self._pieces = known = {}
                             known[piece] = packed
                     found[k] = packed
         return b"".join(found)
