@@ -37,7 +37,9 @@ def query(sql: str) -> Callable:
 
 
 def cents(c: Column | str) -> Column:
-    return F.round((F.col(c) if isinstance(c, str) else c) * 100).cast("bigint")
+    """Whole cents, half away from zero; Spark's ROUND of a double goes through big decimals."""
+    c = F.col(c) if isinstance(c, str) else c
+    return (F.signum(c) * F.floor(F.abs(c) * 100 + 0.5)).cast("bigint")
 
 
 col, lit = F.col, F.lit
@@ -377,9 +379,12 @@ def not_exists(t):
 SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey
   AND EXISTS (SELECT 1 FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey WHERE l.l_orderkey = o.o_orderkey AND s.s_nationkey = c.c_nationkey))""")
 def nested_correlated(t):
-    # The innermost query names the outermost one: both keys meet in one semi join.
-    sold = t.orders.join(t.lineitem, col("o_orderkey") == col("l_orderkey")).join(t.supplier, col("l_suppkey") == col("s_suppkey"))
-    return t.customer.join(sold, (col("o_custkey") == col("c_custkey")) & (col("s_nationkey") == col("c_nationkey")), "left_semi").select("c_custkey")
+    # The innermost query names the outermost one: orders take the customer's nation along, so that
+    # few lines are left when both keys meet in one semi join.
+    buyers = t.customer.select(col("c_custkey").alias("k"), col("c_nationkey").alias("n")).distinct()
+    placed = t.orders.join(buyers, col("o_custkey") == col("k")).select("o_orderkey", "k", "n")
+    sold = t.lineitem.join(placed, col("l_orderkey") == col("o_orderkey")).join(t.supplier, (col("l_suppkey") == col("s_suppkey")) & (col("s_nationkey") == col("n"))).select("k", "n")
+    return t.customer.join(sold, (col("k") == col("c_custkey")) & (col("n") == col("c_nationkey")), "left_semi").select("c_custkey")
 
 
 @query("SELECT o_orderkey FROM orders WHERE CAST(ROUND(o_totalprice * 100) AS BIGINT) > 1.5 * (SELECT AVG(CAST(ROUND(o_totalprice * 100) AS BIGINT)) FROM orders)")
