@@ -39,8 +39,7 @@ def cases():
     return docs, items
 
 
-@pytest.mark.parametrize("shingle", [3, 1, 7])
-@pytest.mark.parametrize("broadcast_bytes", [1 << 20, -1])
+@pytest.mark.parametrize(("broadcast_bytes", "shingle"), [(1 << 20, 3), (1 << 20, 7), (-1, 3), (-1, 1)])
 def test_equals_brute_force(spark, broadcast_bytes, shingle):
     docs, items = cases()
     frame = spark.createDataFrame([(k, t, "clash") for k, t in enumerate(docs)], "doc_id long, text string, N_HIT string")
